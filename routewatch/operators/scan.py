@@ -1,14 +1,16 @@
 """Running values over ordered groups that survive hot keys.
 
-A plain window puts a whole key in one task. Here a hot key is cut into time slices: the window
-runs per (key, slice) and what the earlier slices contribute is added from a small table of slice
-totals. Keys that are not hot keep a single slice and need no such table.
+A plain window puts a whole key in one task. Here the rows of hot keys are taken apart from the
+rest and cut into time slices: the window runs per (key, slice), and what the earlier slices
+contribute is added from a small table of slice totals. Each such step writes its rows out first
+(shared checkpoint folder), so that totals and rows come from one computation and the plan stays
+short. Keys that are not hot use plain windows.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 SLICE, CHUNK = "_slice", "_chunk"
 SLICE_STEPS = 10        # slices of 60 * 2^k seconds, k = 0..10
 BROADCAST_ROWS = 200_000
@@ -34,18 +36,23 @@ def find_hot(df: DataFrame, key="prefix", target_rows=2_000_000):
 
 
 def chunk_of(ts="ts") -> Column:
-    return F.when(F.col(SLICE).isNull(), F.lit(0).cast("long")).otherwise(
-        F.floor(F.col(ts) / F.col(SLICE)).cast("long"))
+    return F.floor(F.col(ts) / F.col(SLICE)).cast("long")
 
 
-def with_chunks(df: DataFrame, hot, key="prefix") -> DataFrame:
-    """Add the slice length (null where not hot) and the slice number, and place rows by them."""
+def split_hot(df: DataFrame, hot, key="prefix"):
+    """(rows of the other keys, rows of hot keys with their slice length and number)."""
+    df = df.withColumn(SLICE, F.lit(None).cast("long")).withColumn(CHUNK, F.lit(0).cast("long"))
     if hot is None:
-        df = df.withColumn(SLICE, F.lit(None).cast("long")).withColumn(CHUNK, F.lit(0).cast("long"))
-        return df.repartition(key)
-    small = hot.count() <= BROADCAST_ROWS
-    df = df.join(F.broadcast(hot) if small else hot, key, "left")
-    return df.withColumn(CHUNK, chunk_of()).repartition(key, CHUNK)
+        return df, None
+    if hot.count() <= BROADCAST_ROWS:  # checked size; beyond it Spark picks the join
+        hot = F.broadcast(hot)
+    sliced = df.drop(SLICE, CHUNK).join(hot, key).withColumn(CHUNK, chunk_of())
+    return df.join(hot, key, "left_anti"), sliced
+
+
+def place(df: DataFrame, hot, key="prefix") -> DataFrame:
+    """One shuffle that serves all windows below: by key, or by (key, slice) of hot keys."""
+    return df.repartition(key) if hot is None else df.repartition(key, CHUNK)
 
 
 class Running:
@@ -82,8 +89,8 @@ def running(df: DataFrame, keys, order, values: dict, hot=None) -> DataFrame:
         new = {n: F.coalesce(c, F.lit(0)) if values[n].kind == "sum" else c for n, c in new.items()}
         return df.withColumns(new)
     tmp = {n: f"_in_{n}" for n in values}
-    df = df.withColumns({tmp[n]: v.expr for n, v in values.items()})
-    totals = df.filter(F.col(SLICE).isNotNull()).groupBy(*parts).agg(
+    df = cut(df.withColumns({tmp[n]: v.expr for n, v in values.items()}))
+    totals = df.groupBy(*parts).agg(
         *[v.total(F.col(tmp[n]), order).alias(f"_c_{n}") for n, v in values.items()])
     back = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
@@ -103,10 +110,10 @@ def neighbours(df: DataFrame, keys, order, prev: dict, following: dict, hot=None
         return df.withColumns({**{n: F.lag(c).over(w) for n, c in prev.items()},
                                **{n: F.lead(c).over(w) for n, c in following.items()}})
     # A struct per side, so that a null value of a present row is not taken for a missing row.
-    df = df.withColumns({
+    df = cut(df.withColumns({
         "_pv": F.struct(*[c.alias(n) for n, c in prev.items()]),
-        "_nv": F.struct(*[c.alias(n) for n, c in following.items()])})
-    ends = df.filter(F.col(SLICE).isNotNull()).groupBy(*parts).agg(
+        "_nv": F.struct(*[c.alias(n) for n, c in following.items()])}))
+    ends = df.groupBy(*parts).agg(
         F.max_by("_pv", F.struct(*order)).alias("_pe"), F.min_by("_nv", F.struct(*order)).alias("_ne"))
     side = Window.partitionBy(*keys).orderBy(CHUNK)
     ends = ends.select(*parts, F.lag("_pe").over(side).alias("_pe"), F.lead("_ne").over(side).alias("_ne"))
@@ -118,13 +125,13 @@ def neighbours(df: DataFrame, keys, order, prev: dict, following: dict, hot=None
     return df.drop("_pv", "_nv", "_pl", "_nl", "_pe", "_ne")
 
 
-def sums_until(df: DataFrame, key, minute, counters, lags, hot=None) -> DataFrame:
-    """For each lag L add ``<counter>_until_<L>``: the sum over rows at least L minutes back.
+def sums_until(df: DataFrame, key, minute, lags: dict, hot=None) -> DataFrame:
+    """For each counter and each of its lags L add ``<counter>_until_<L>``: the sum over rows at least L minutes back.
 
     Frames start at the beginning of the key, so Spark extends one running aggregate and never
     re-adds a frame. Hot keys read the same sums from their (key, minute) totals.
     """
-    names = {f"{c}_until_{lag}": (c, lag) for c in counters for lag in lags}
+    names = {f"{c}_until_{lag}": (c, lag) for c, ls in lags.items() for lag in ls}
 
     def frame(parts, lag):
         return Window.partitionBy(*parts).orderBy(minute).rangeBetween(Window.unboundedPreceding, -lag)
@@ -132,17 +139,8 @@ def sums_until(df: DataFrame, key, minute, counters, lags, hot=None) -> DataFram
     if hot is None:
         return df.withColumns({n: F.coalesce(F.sum(c).over(frame([key], lag)), F.lit(0))
                                for n, (c, lag) in names.items()})
-    per_min = df.filter(F.col(SLICE).isNotNull()).groupBy(key, minute).agg(
-        *[F.sum(c).alias(c) for c in counters])
+    df = cut(df)
+    per_min = df.groupBy(key, minute).agg(*[F.sum(c).alias(c) for c in lags])
     per_min = per_min.select(key, minute, *[
-        F.coalesce(F.sum(c).over(frame([key], lag)), F.lit(0)).alias(f"_h_{n}")
-        for n, (c, lag) in names.items()])
-    df = df.withColumns({f"_k_{n}": F.coalesce(F.sum(c).over(frame([key, CHUNK], lag)), F.lit(0))
-                         for n, (c, lag) in names.items()})
-    df = df.join(per_min, [key, minute], "left")
-    df = df.withColumns({n: F.coalesce(f"_h_{n}", f"_k_{n}") for n in names})
-    return df.drop(*[f"_{p}_{n}" for n in names for p in "hk"])
-
-
-def union_all(parts) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        F.coalesce(F.sum(c).over(frame([key], lag)), F.lit(0)).alias(n) for n, (c, lag) in names.items()])
+    return df.join(per_min, [key, minute], "left")

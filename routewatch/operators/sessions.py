@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
-from .scan import Running, SLICE, CHUNK, chunk_of, neighbours, running, sums_until
+from .scan import CHUNK, Running, chunk_of, neighbours, place, running, sums_until
 
 SESSION = ["prefix", "host", "peer"]
 ORDER = ["ts", "update_id"]
@@ -19,7 +19,7 @@ def session_changes(updates: DataFrame, hot=None) -> DataFrame:
     origin it announced, and the time of its next update.
     """
     df = neighbours(
-        updates, SESSION, ORDER,
+        place(updates, hot), SESSION, ORDER,
         prev={"prev_ts": F.col("ts"), "prev_wd": F.col("is_withdrawal")},
         following={"next_ts": F.col("ts")}, hot=hot)
     known = F.col("prev_ts").isNotNull() & ~(
@@ -76,7 +76,7 @@ def _with_expiries(changes: DataFrame, hot=None) -> DataFrame:
     # An expiry carries none of the update's own counts.
     df = df.withColumns({c: F.when(F.col("is_update") == 1, F.col(c)).otherwise(0) for c in COUNTERS})
     if hot is not None:
-        df = df.withColumn(CHUNK, chunk_of()).repartition("prefix", CHUNK)
+        df = place(df.withColumn(CHUNK, chunk_of()), hot)
     return df
 
 
@@ -122,9 +122,8 @@ def prefix_counts(changes: DataFrame, hot=None) -> DataFrame:
         "flap_cycle": (update & (F.col("n_active") > 0) & (F.col("_was") == 0) & ~F.col("_is_first")).cast("long"),
         "minute": F.floor(F.col("ts") / 60).cast("long"),
         "msgs": F.col("is_update").cast("long")})
-    df = sums_until(df, "prefix", "minute", COUNTERS, [10, 11], hot)
-    df = sums_until(df, "prefix", "minute", ["wd"], [9], hot)
-    df = sums_until(df, "prefix", "minute", ["msgs"], [1, 10, 11], hot)
+    df = sums_until(df, "prefix", "minute", {
+        **{c: [10, 11] for c in COUNTERS}, "wd": [9, 10, 11], "msgs": [1, 10, 11]}, hot)
     # A bucket counts while its minute is not before now - 600.
     whole = F.col("ts") % 60 == 0
 
@@ -171,7 +170,3 @@ def active_sessions(updates: DataFrame, at: int) -> DataFrame:
         F.count(F.when(~live, 1)).alias("n_withdrawn"),
         F.count_distinct(F.when(live, F.col("host"))).alias("n_hosts"),
         F.count_distinct("host").alias("n_all_hosts"))
-
-
-__all__ = ["session_changes", "prefix_counts", "minute_buckets", "rolling_10m", "active_sessions",
-           "SLICE"]

@@ -17,7 +17,7 @@ from ..operators.leaks import leak_patterns
 from ..operators.networks import as_flags, siblings
 from ..operators.prefix_join import lpm_join
 from ..operators.rpki import rpki_status
-from ..operators.scan import CHUNK, SLICE, Running, find_hot, running, with_chunks
+from ..operators.scan import CHUNK, SLICE, Running, find_hot, place, running, split_hot
 from ..operators.sessions import prefix_counts, session_changes
 from ..session import cut
 from .lifecycle import CONTINUED, ENDED, ENTERED, QUIET, Life
@@ -86,6 +86,15 @@ def foreign_hosts(changes: DataFrame, pairs: DataFrame, hot=None) -> DataFrame:
     return rows.filter("o = 1").select("prefix", "update_id", "foreign_hosts")
 
 
+def _counted(rows: DataFrame, pairs: DataFrame, hot=None) -> DataFrame:
+    """Session, host and prefix counts after each update, and the hosts behind a suspect origin."""
+    changes = session_changes(rows, hot)
+    if hot is not None:
+        changes = cut(changes)
+    return prefix_counts(changes, hot).join(
+        foreign_hosts(changes, pairs, hot), ["prefix", "update_id"], "left")
+
+
 def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     """Judge every update: its best candidate class and all the life cycle needs.
 
@@ -105,9 +114,10 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     else:
         flags = as_flags(updates.sparkSession.createDataFrame(
             [], "asn long, heg_v4 double, heg_v6 double, pop_pct double, pop_users long"))
-    changes = session_changes(with_chunks(_as_of_update(updates, facts), hot), hot)
-    df = prefix_counts(changes, hot)
-    df = df.join(foreign_hosts(changes, pairs, hot), ["prefix", "update_id"], "left")
+    cold_rows, hot_rows = split_hot(_as_of_update(updates, facts), hot)
+    df = _counted(cold_rows, pairs)
+    if hot_rows is not None:
+        df = df.unionByName(_counted(hot_rows, pairs, hot))
     df = leak_patterns(df, updates, flags, when=F.col("n_hosts") >= 7)
 
     zero = F.lit(0).cast("long")
