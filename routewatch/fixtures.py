@@ -8,6 +8,8 @@ hour apart, so that sessions are forgotten and classes expire.
 
 from pathlib import Path
 
+from .session import cut
+
 EPOCH = {
     "spark": "timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))",
     "duckdb": "CAST(floor(epoch(ts) - 1704067200) AS BIGINT)",
@@ -120,7 +122,7 @@ SELECT update_id, ts, prefix, asn, host AS peer_ip, CAST(1000 + pid AS BIGINT) A
        THEN concat(prefix, '#', CAST(floor(ts / 600) AS BIGINT)) END AS incident_id,
   CAST(ts - ts % 60 AS BIGINT) AS incident_start_time, source, lat, lon, city, country,
   CAST(CASE WHEN classification = 6 AND update_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS num_flaps,
-  is_withdrawal, CAST(classification AS INT) AS state_class,
+  is_withdrawal, CAST(classification AS INT) AS state_class, asn AS state_asn,
   CAST(CASE WHEN classification IN (3, 10) THEN 7 WHEN classification = 2 THEN 0 END AS INT) AS leak_type,
   CAST(CASE WHEN classification IN (2, 3, 10) THEN 5000 + pid % 500 END AS BIGINT) AS leaker_asn,
   CAST(CASE WHEN classification IN (2, 3, 10) THEN 3356 END AS BIGINT) AS victim_asn
@@ -139,7 +141,8 @@ _KEPT = {}
 
 
 def load(spark, sf_dir, name):
-    """A given table or a derived one. Derived tables are persisted, since queries share them."""
+    """A given table or a derived one. Derived tables are written out once (checkpoint folder), since
+    many queries share them."""
     if name in BASE:
         return spark.read.parquet(str(Path(sf_dir) / f"{name}.parquet"))
     key = (spark.sparkContext.applicationId, str(sf_dir), name)
@@ -147,7 +150,7 @@ def load(spark, sf_dir, name):
         parts = {u: load(spark, sf_dir, u) for u in USES[name]}
         sql = TABLES[name].replace("{epoch}", EPOCH["spark"])
         df = spark.sql(sql, **parts) if parts else spark.sql(sql)
-        _KEPT[key] = (with_events(df) if name == "classified" else df).persist()
+        _KEPT[key] = cut(with_events(df) if name == "classified" else df)
     return _KEPT[key]
 
 

@@ -374,7 +374,7 @@ def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
         "source", "lat", "lon", "city", "country",
         F.when(F.col("kind") == CHECK, 0).otherwise(F.col("flap_cycle")).cast("long").alias("num_flaps"),
         (~quiet).alias("is_classified"), "is_withdrawal", "state_class",
-        F.col("last_asn").alias("_last_asn"))
+        F.col("asn").alias("state_asn"))
 
 
 def classify(updates: DataFrame, dims: dict, now=None, target_rows=2_000_000) -> DataFrame:
