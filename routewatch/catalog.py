@@ -483,10 +483,10 @@ ew AS (SELECT prefix, m, n, nxt, rn, m AS cur, 0.0::DOUBLE AS mean, 0.0::DOUBLE
 states AS (SELECT prefix, m * 60 AS minute_ts, n, mean, var FROM ew WHERE cur = m)"""
 
 
-@query("w6_ewma_states", sql(["classified"], "SELECT prefix, minute_ts, n::BIGINT AS n, round(mean, 6) AS mean, round(var, 6) AS var FROM states", EWMA_SQL, recursive=True))
+@query("w6_ewma_states", sql(["classified"], "SELECT prefix, minute_ts, n::BIGINT AS n, round(mean, 9) AS mean, round(var, 9) AS var FROM states", EWMA_SQL, recursive=True))
 def w6(spark, d):
     c = load(spark, d, "classified").filter(F.col("classification").isin(K.CRITICAL))
-    return anomaly.minute_states(c).withColumns({"mean": r6("mean"), "var": r6("var")})
+    return anomaly.minute_states(c).withColumns({"mean": F.round("mean", 9), "var": F.round("var", 9)})
 
 
 @query("w6_prefix_zscores", sql(["classified"], f"""SELECT prefix, round(CASE WHEN sqrt(var) < 1e-5 THEN greatest(k - mean, 0) ELSE (k - mean) / sqrt(var) END, 5) AS z FROM (

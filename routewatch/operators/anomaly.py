@@ -66,11 +66,11 @@ def rate_limit(df: DataFrame, keys, seconds=300, order=("ts", "update_id"), ts="
     """
     keys = list(keys)
     key = F.to_json(F.struct(*keys))
-    times = df.select(key.alias("_k"), F.col(ts).alias("_t")).distinct()
-    by = Window.partitionBy("_k").orderBy("_t")
-    pause = F.coalesce(F.col("_t") - F.lag("_t").over(by) >= seconds, F.lit(True))
-    run = F.last(F.when(pause, F.col("_t")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    runs = times.withColumn("_run", run).repartition("_k", "_run").sortWithinPartitions("_k", "_run", "_t")
+    times = df.select(key.alias("_rl_key"), F.col(ts).alias("_rl_ts")).distinct()
+    by = Window.partitionBy("_rl_key").orderBy("_rl_ts")
+    pause = F.coalesce(F.col("_rl_ts") - F.lag("_rl_ts").over(by) >= seconds, F.lit(True))
+    run = F.last(F.when(pause, F.col("_rl_ts")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    runs = times.withColumn("_rl_run", run).repartition("_rl_key", "_rl_run").sortWithinPartitions("_rl_key", "_rl_run", "_rl_ts")
 
     def walk(batches):
         place, kept = None, None
@@ -82,11 +82,11 @@ def rate_limit(df: DataFrame, keys, seconds=300, order=("ts", "update_id"), ts="
                     keep.append(True)
                 else:
                     keep.append(False)
-            yield batch.select(["_k", "_t"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["_rl_key", "_rl_ts"]).filter(pa.array(keep, pa.bool_()))
 
-    kept = runs.select("_k", "_run", "_t").mapInArrow(walk, f"_k string, _t {dict(df.dtypes)[ts]}")
+    kept = runs.select("_rl_key", "_rl_run", "_rl_ts").mapInArrow(walk, f"_rl_key string, _rl_ts {dict(df.dtypes)[ts]}")
     # of the rows of a kept second the first one is the kept row
-    first = df.groupBy(key.alias("_k"), F.col(ts).alias("_t")).agg(
-        F.min(F.struct(*order)).alias("_o")).join(kept, ["_k", "_t"])
-    marked = df.withColumns({"_k": key, "_t": F.col(ts)})
-    return marked.join(first, ["_k", "_t"]).filter(F.struct(*order) == F.col("_o")).drop("_k", "_t", "_o")
+    first = df.groupBy(key.alias("_rl_key"), F.col(ts).alias("_rl_ts")).agg(
+        F.min(F.struct(*order)).alias("_rl_row")).join(kept, ["_rl_key", "_rl_ts"])
+    marked = df.withColumns({"_rl_key": key, "_rl_ts": F.col(ts)})
+    return marked.join(first, ["_rl_key", "_rl_ts"]).filter(F.struct(*order) == F.col("_rl_row")).drop("_rl_key", "_rl_ts", "_rl_row")
