@@ -845,7 +845,7 @@ KEY_SQL = """concat(alert_type::STRING, ':', classification::STRING, ':', CASE a
 def w1(spark, d):
     a = AL.alerts(critical(spark, d), samples=False)
     half = F.col("timestamp") < 1704071000
-    table = AL.merge_alerts(AL.merge_alerts(None, a.filter(half)).drop("alert_key"), a.filter(~half))
+    table = AL.merge_alerts(AL.merge_alerts(None, a.filter(half)), a.filter(~half))
     return AL.recent_alerts(table, last_ts(spark, d)).select("alert_key", "timestamp", F.round("anomaly_score", 4).alias("anomaly_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -890,8 +890,8 @@ def events_of(spark, d):
 @query("classify_updates")
 def classify_updates(spark, d):
     e = CL.classify(load(spark, d, "updates"), dims(spark, d))
-    return e.drop("leak_detail", "anomaly_details").withColumns({
-        "leak_type": e["leak_detail.leak_type"], "leaker_asn": e["leak_detail.leaker_asn"]})
+    return e.withColumns({c: F.col(f"leak_detail.{c}") for c in ("leak_type", "leaker_asn", "victim_asn")}).withColumns(
+        {c: F.col(f"anomaly_details.{c}") for c in CL.DETAILS}).drop("leak_detail", "anomaly_details")
 
 
 @query("classified_summary")

@@ -173,8 +173,7 @@ def alert_key(df: DataFrame) -> DataFrame:
 
 def merge_alerts(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Alert table keyed by alert key; a key keeps its highest score, the earlier row on a tie."""
-    new = alert_key(new)
-    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
+    rows = alert_key(new if old is None else old.drop("alert_key").unionByName(new.drop("alert_key")))
     cols = [c for c in rows.columns if c != "alert_key"]
     best = rows.groupBy("alert_key").agg(F.max_by(F.struct(*cols), F.struct(
         "anomaly_score", -F.col("timestamp"))).alias("a"))

@@ -44,7 +44,7 @@ def append_flap_events(events: DataFrame, path):
 
 def upsert_alerts(alerts: DataFrame, path, now=None):
     old = read_table(alerts.sparkSession, path)
-    merged = merge_alerts(None if old is None else old.drop("alert_key"), alerts)
+    merged = merge_alerts(old, alerts)
     replace_table(merged if now is None else retain_recent(merged, now, ts="timestamp"), path)
 
 
