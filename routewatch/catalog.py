@@ -295,7 +295,7 @@ def d1(spark, d):
     return a.join(bogons.bogon_flag(p, None).withColumnRenamed("is_bogon", "martian"), "prefix")
 
 
-@query("d4_leak_patterns", sql(["updates", "as_info"], """
+LEAK_SQL = """
 SELECT update_id, CAST(leak_type AS INT) AS leak_type, leaker_asn, victim_asn FROM (SELECT *, row_number() OVER (PARTITION BY update_id ORDER BY pattern, i) AS rn FROM (
  SELECT update_id, i, p2 AS leaker_asn, unnest([1, 2, 3, 4, 5]) AS pattern, unnest([2, 3, 7, 7, 2]) AS leak_type,
   unnest([p1, p1, CASE WHEN e12 AND NOT e32 AND NOT e23 THEN p1 ELSE p3 END, p3, p1]) AS victim_asn,
@@ -306,7 +306,10 @@ SELECT update_id, CAST(leak_type AS INT) AS leak_type, leaker_asn, victim_asn FR
   FROM (SELECT u.update_id, u.ts, i, path[i] AS p1, path[i + 1] AS p2, path[i + 2] AS p3 FROM updates u JOIN dp USING (path_str), range(1, 20) r(i) WHERE i + 2 <= len(path)) t
   LEFT JOIN edges x ON x.provider = p1 AND x.customer = p2 LEFT JOIN edges y ON y.provider = p3 AND y.customer = p2
   LEFT JOIN edges z ON z.provider = p2 AND z.customer = p3 LEFT JOIN edges w ON w.provider = p2 AND w.customer = p1
-  LEFT JOIN flags f1 ON f1.asn = p1 LEFT JOIN flags f2 ON f2.asn = p2 LEFT JOIN flags f3 ON f3.asn = p3)) WHERE hit) WHERE rn = 1""", FLAG_SQL + ", " + PATHS_SQL))
+  LEFT JOIN flags f1 ON f1.asn = p1 LEFT JOIN flags f2 ON f2.asn = p2 LEFT JOIN flags f3 ON f3.asn = p3)) WHERE hit) WHERE rn = 1"""
+
+
+@query("d4_leak_patterns", sql(["updates", "as_info"], LEAK_SQL, FLAG_SQL + ", " + PATHS_SQL))
 def d4(spark, d):
     u = load(spark, d, "updates")
     out = leaks.leak_patterns(u, u, cut(networks.as_flags(load(spark, d, "as_info"))))
@@ -887,7 +890,77 @@ def events_of(spark, d):
     return _EVENTS[key]
 
 
-@query("classify_updates")
+PRIO = "CASE {c} " + " ".join(f"WHEN {c[0]} THEN {c[3]}" for c in K.CLASSES) + " END"
+BAD = "IN (2, 3, 4, 10)"
+# Every detector from first principles (look back at all sessions and buckets), then the class life
+# cycle one row at a time per prefix. Outage checks are rows of their own, before updates of the
+# same second.
+JUDGED_SQL = ", ".join([
+    COUNT_SQL, HIST_SQL, FLAG_SQL, PATHS_SQL, f"lk AS ({LEAK_SQL})", parsed("bp", "bogons"),
+    "xs AS (SELECT DISTINCT prefix, origin_asn AS asn FROM updates WHERE origin_asn <> 0)", parsed("xp", "xs", "prefix, asn"), ROA_SQL, RPKI_SQL,
+    "n2 AS (SELECT asn, org_name, CASE WHEN org_name <> '' THEN org_name WHEN name <> '' THEN name ELSE org_name END AS nm FROM as_info)",
+    """hi AS (SELECT u.update_id, coalesce(b.origin_asn, first_value(CASE WHEN NOT is_withdrawal AND u.origin_asn <> 0 THEN u.origin_asn END IGNORE NULLS)
+  OVER (PARTITION BY u.prefix ORDER BY ts, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hist FROM updates u LEFT JOIN base b ON b.prefix = u.prefix)""",
+    """tot AS (SELECT u.update_id, sum(o.ann)::BIGINT AS ann10, sum(o.wd)::BIGINT AS wd10, sum(o.path_change) AS pc10, sum(o.len_inc) AS li10, sum(o.flap)::BIGINT AS fl10, min(o.ts - o.ts % 60) AS earliest
+  FROM seq u JOIN seq o ON o.prefix = u.prefix AND o.rn <= u.rn AND o.ts - o.ts % 60 >= u.ts - 600 GROUP BY u.update_id)""",
+    "sp2 AS (SELECT s.*, q.origin_asn AS o FROM span s JOIN seq q ON q.prefix = s.prefix AND q.rn = s.rn)",
+    """fh AS (SELECT u.update_id, count(DISTINCT s.host) AS foreign_hosts FROM seq u JOIN sp2 s ON s.prefix = u.prefix AND s.rn <= u.rn AND (s.until IS NULL OR s.until > u.rn)
+  AND NOT s.is_withdrawal AND s.o = u.origin_asn WHERE u.origin_asn <> 0 GROUP BY u.update_id)""",
+    """sib AS (SELECT DISTINCT origin_asn, hist, EXISTS (SELECT 1 FROM as_siblings s WHERE (s.asn1 = origin_asn AND s.asn2 = hist) OR (s.asn1 = hist AND s.asn2 = origin_asn))
+  OR coalesce(a.org_name = b.org_name, FALSE) OR coalesce(list_has_any(list_filter(words, lambda w: instr(lower(a.nm), w) > 0), list_filter(words, lambda w: instr(lower(b.nm), w) > 0)), FALSE) AS kin
+  FROM (SELECT DISTINCT origin_asn, hist FROM updates JOIN hi USING (update_id) WHERE origin_asn <> 0 AND hist <> 0 AND origin_asn <> hist) p
+  LEFT JOIN n2 a ON a.asn = origin_asn LEFT JOIN n2 b ON b.asn = hist, (SELECT ['china telecom', 'chinanet', 'google', 'cloudflare', 'amazon', 'akamai'] AS words))""",
+    """jd AS (SELECT seq.*, n_active, n_known, n_hosts, n_all_hosts, hi.hist, ann10, wd10, pc10, li10, fl10, earliest, coalesce(foreign_hosts, 0) AS foreign_hosts,
+  lk.leak_type, lk.leaker_asn, lk.victim_asn, lk.update_id IS NOT NULL AS has_leak, coalesce(kin, FALSE) AS kin, coalesce(v.rpki_status, 3) AS rpki,
+  coalesce(last_value(CASE WHEN NOT is_withdrawal THEN nullif(seq.origin_asn, 0) END IGNORE NULLS) OVER w, 0) AS last_origin,
+  lag(cnt.n_active) OVER w AS was_active_n, sum(CASE WHEN n_active > 0 THEN 1 ELSE 0 END) OVER w AS spell
+  FROM seq LEFT JOIN cnt USING (update_id) JOIN hi USING (update_id) JOIN tot USING (update_id) LEFT JOIN fh USING (update_id) LEFT JOIN lk USING (update_id)
+  LEFT JOIN sib ON sib.origin_asn = seq.origin_asn AND sib.hist = hi.hist LEFT JOIN v ON v.prefix = seq.prefix AND v.asn = seq.origin_asn
+  WINDOW w AS (PARTITION BY seq.prefix ORDER BY seq.rn))""",
+    """fw AS (SELECT *, CASE WHEN n_active = 0 THEN min(CASE WHEN n_active = 0 THEN ts END) OVER (PARTITION BY prefix, spell) END AS fw_ts,
+  CASE WHEN last_origin <> 0 THEN last_origin ELSE hist END AS last_asn, CASE WHEN origin_asn <> 0 THEN origin_asn WHEN last_origin <> 0 THEN last_origin ELSE hist END AS asn,
+  CAST(n_active > 0 AND coalesce(was_active_n = 0, FALSE) AS BIGINT) AS cycle FROM jd)""",
+    f"""ju AS (SELECT *, dark AND ts - fw_ts < 10 AS ask, CASE WHEN hist <> 0 AND origin_asn <> 0 AND origin_asn <> hist AND NOT kin AND rpki <> 1 AND foreign_hosts >= 5 THEN 2
+  WHEN dark AND ts - fw_ts >= 10 THEN 4 WHEN has_leak AND n_hosts >= 15 THEN 3 WHEN prefix IN (SELECT p.prefix FROM pf p JOIN bp q ON {covers('q', 'p')}) THEN 1
+  WHEN has_leak AND n_hosts >= 7 THEN 10 WHEN n_hosts >= 3 AND (comm_str LIKE '%:666' OR comm_str LIKE '%:666 %') THEN 5 WHEN n_all_hosts >= 2 AND fl10 >= 3 THEN 6
+  WHEN n_hosts >= 2 AND li10 >= 2 AND pc10 >= 3 THEN 8 ELSE 0 END AS cand
+  FROM (SELECT *, n_known >= 3 AND n_active = 0 AND ts - earliest > 30 AND asn <> 0 AS dark FROM fw))""",
+    """rows_ AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY ts, msg, update_id) AS k FROM (
+  SELECT prefix, ts, 1 AS msg, update_id, is_withdrawal AS w, cand, CASE WHEN cand = 2 THEN 0 WHEN cand IN (3, 10) THEN leak_type END AS clt, CASE WHEN cand = 2 THEN origin_asn WHEN cand IN (3, 10) THEN leaker_asn END AS cll,
+   CASE WHEN cand = 2 THEN hist WHEN cand IN (3, 10) THEN victim_asn END AS clv, fw_ts, last_asn, hist, cycle FROM ju
+  UNION ALL SELECT t.prefix, t.ts, 0, -1, FALSE, 0, NULL, NULL, NULL, l.fw_ts, l.last_asn, l.hist, 0 FROM (SELECT DISTINCT prefix, ts + 10 AS ts FROM ju WHERE ask) t
+   JOIN ju l ON l.prefix = t.prefix AND l.rn = (SELECT max(rn) FROM ju x WHERE x.prefix = t.prefix AND x.ts < t.ts)))""",
+    f"""life AS (SELECT prefix, 0::BIGINT AS k, 0 AS cls, 0::BIGINT AS since, NULL::INT AS ic, NULL::BIGINT AS it, NULL::INT AS lt, NULL::BIGINT AS ll, NULL::BIGINT AS lv,
+   -2 AS kind, 0 AS shown, 0 AS old, NULL::INT AS sic, NULL::BIGINT AS sit, 0::BIGINT AS start, NULL::INT AS slt, NULL::BIGINT AS sll, NULL::BIGINT AS slv FROM (SELECT DISTINCT prefix FROM updates)
+ UNION ALL SELECT prefix, k, ncls, nsince, CASE WHEN fire THEN coalesce(ic, 4) WHEN enter AND cand {BAD} THEN cand WHEN enter AND old {BAD} THEN NULL WHEN kind = 2 THEN NULL ELSE ic END,
+   CASE WHEN fire THEN coalesce(it, ts) WHEN enter AND cand {BAD} THEN ts WHEN enter AND old {BAD} THEN NULL WHEN kind = 2 THEN NULL ELSE it END,
+   CASE WHEN enter AND clt IS NOT NULL THEN clt ELSE lt END, CASE WHEN enter AND clt IS NOT NULL THEN cll ELSE ll END, CASE WHEN enter AND clt IS NOT NULL THEN clv ELSE lv END,
+   kind, shown, CASE kind WHEN 1 THEN old WHEN 2 THEN old WHEN 3 THEN shown ELSE 0 END,
+   CASE WHEN kind = 0 THEN NULL WHEN fire THEN coalesce(ic, 4) WHEN enter AND cand {BAD} THEN cand ELSE ic END, CASE WHEN kind = 0 THEN NULL WHEN fire THEN coalesce(it, ts) WHEN enter AND cand {BAD} THEN ts ELSE it END,
+   CASE WHEN kind = 0 THEN 0 WHEN fire THEN ts WHEN enter THEN CASE WHEN cand {BAD} THEN ts WHEN old {BAD} OR since1 <> 0 THEN since1 ELSE ts END ELSE nsince END,
+   CASE WHEN enter THEN clt WHEN kind IN (2, 3) AND lt <> 0 THEN lt END, CASE WHEN enter THEN cll WHEN kind IN (2, 3) AND lt <> 0 THEN ll END, CASE WHEN enter THEN clv WHEN kind IN (2, 3) AND lt <> 0 THEN lv END
+  FROM (SELECT *, CASE WHEN msg = 0 THEN CASE WHEN fire THEN -1 ELSE -2 END WHEN enter THEN 1 WHEN ncls <> old THEN 2 WHEN ncls <> 0 THEN 3 WHEN NOT w AND hist = 0 THEN 4 WHEN cycle > 0 THEN 5 ELSE 0 END AS kind,
+     CASE WHEN fire THEN 4 WHEN enter THEN cand WHEN ncls <> old THEN 0 WHEN ncls IN (2, 3, 10) THEN 9 WHEN ncls <> 0 THEN ncls WHEN msg = 1 AND NOT w AND hist = 0 THEN 9 ELSE 0 END AS shown
+   FROM (SELECT *, CASE WHEN fire THEN 4 WHEN enter THEN cand ELSE cls1 END AS ncls, CASE WHEN fire OR enter OR same THEN ts ELSE since1 END AS nsince
+    FROM (SELECT *, msg = 1 AND cand <> 0 AND (old = 0 OR {PRIO.replace('{c}', 'cand')} > {PRIO.replace('{c}', 'old')}) AS enter, msg = 1 AND cand <> 0 AND cand = old AS same,
+      coalesce(msg = 0 AND ts - fw_ts >= 10 AND old <> 4 AND last_asn <> 0, FALSE) AS fire,
+      CASE WHEN msg = 1 AND old <> 0 AND (ts - since1 > CASE old WHEN 4 THEN 1800 WHEN 6 THEN 60 ELSE 600 END OR (old = 4 AND NOT w)) THEN 0 ELSE old END AS cls1
+     FROM (SELECT r.*, l.cls AS old, l.ic, l.it, l.lt, l.ll, l.lv, CASE WHEN r.msg = 1 AND r.w AND l.cls = 4 THEN r.ts ELSE l.since END AS since1 FROM life l JOIN rows_ r ON r.prefix = l.prefix AND r.k = l.k + 1)))))""",
+    """ev AS (SELECT r.update_id, r.ts, r.prefix, CASE WHEN kind = 0 THEN j.origin_asn ELSE j.asn END AS asn, CASE WHEN kind = 0 AND j.source = 'routeviews' THEN 'routeviews' ELSE j.peer END AS peer_ip,
+   CASE WHEN kind = 0 THEN 0 ELSE r.hist END AS historical_asn, shown AS classification, old AS old_classification, sic, sit, start AS incident_start_time, slt AS leak_type, sll AS leaker_asn, slv AS victim_asn,
+   j.source, j.lat, j.lon, j.city, j.country, j.cycle AS num_flaps, kind <> 0 AS is_classified, j.is_withdrawal, cls AS state_class, j.asn AS state_asn,
+   CASE WHEN kind = 1 AND shown = 4 THEN n_hosts WHEN kind = 1 AND shown = 6 THEN n_all_hosts END AS num_collectors, CASE WHEN kind = 1 AND shown = 4 THEN n_known - n_active WHEN kind = 1 AND shown = 6 THEN n_known END AS num_peers,
+   CASE WHEN kind = 1 AND shown IN (4, 6) THEN wd10 END AS num_withdrawals, CASE WHEN kind = 1 AND shown = 4 THEN 0 WHEN kind = 1 AND shown = 6 THEN ann10 END AS num_announcements,
+   CASE WHEN kind = 1 AND shown = 4 THEN 0 WHEN kind = 1 AND shown = 6 THEN fl10 END AS flap_count
+  FROM life l JOIN rows_ r ON r.prefix = l.prefix AND r.k = l.k AND r.msg = 1 JOIN ju j ON j.update_id = r.update_id
+ UNION ALL SELECT NULL, r.ts, r.prefix, r.last_asn, 'synthetic', r.hist, 4, 0, sic, sit, start, NULL, NULL, NULL, 'timer', j.lat, j.lon, j.city, j.country, 0, TRUE, FALSE, 4, r.last_asn,
+   0, j.n_known - j.n_active, (SELECT count(*) FROM ju x WHERE x.prefix = r.prefix AND x.ts < r.ts AND x.is_withdrawal AND x.ts - x.ts % 60 >= r.ts - 600), 0, 0
+  FROM life l JOIN rows_ r ON r.prefix = l.prefix AND r.k = l.k AND r.msg = 0 AND l.kind = -1 JOIN ju j ON j.prefix = r.prefix AND j.rn = (SELECT max(rn) FROM ju x WHERE x.prefix = r.prefix AND x.ts < r.ts)),
+events_ AS (SELECT * EXCLUDE (sic, sit), CASE WHEN sit IS NOT NULL THEN md5(concat(prefix, '|', sic::STRING, '|', sit::STRING)) END AS incident_id FROM ev)"""])
+EVENT_TABLES = ["updates", "seen", "roas", "bogons", "as_info", "as_siblings"]
+
+
+@query("classify_updates", sql(EVENT_TABLES, "SELECT * FROM events_", JUDGED_SQL, recursive=True))
 def classify_updates(spark, d):
     e = CL.classify(load(spark, d, "updates"), dims(spark, d))
     return e.withColumns({c: F.col(f"leak_detail.{c}") for c in ("leak_type", "leaker_asn", "victim_asn")}).withColumns(

@@ -150,6 +150,8 @@ def load(spark, sf_dir, name):
         parts = {u: load(spark, sf_dir, u) for u in USES[name]}
         sql = TABLES[name].replace("{epoch}", EPOCH["spark"])
         df = spark.sql(sql, **parts) if parts else spark.sql(sql)
+        # the given files are small: spread the rows, as a folder of many files would be
+        df = df.repartition(spark.sparkContext.defaultParallelism)
         _KEPT[key] = cut(with_events(df) if name == "classified" else df)
     return _KEPT[key]
 
