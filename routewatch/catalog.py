@@ -858,10 +858,13 @@ def l2(spark, d):
     return AL.selected_alerts(table, [K.HIJACK, K.OUTAGE]).select("alert_key", "classification")
 
 
-@query("l3_sorted_samples")
+@query("l3_sorted_samples", sql(["classified", "as_info"], """SELECT alert_type, group_key, classification, tick AS timestamp, string_agg(prefix, ' ' ORDER BY l, pos) AS prefixes FROM (
+ SELECT a.alert_type, a.group_key, a.classification, a.tick, x.prefix, CAST(split_part(x.prefix, '/', 2) AS INT) AS l, row_number() OVER (PARTITION BY a.alert_type, a.group_key, a.classification, a.tick ORDER BY x.ts DESC, x.update_id DESC) AS pos
+ FROM lat a JOIN tk5 x ON x.alert_type = a.alert_type AND x.group_key = a.group_key AND x.classification = a.classification AND x.tick = a.tick) WHERE pos <= 5 GROUP BY ALL""", FIRE_SQL, recursive=True))
 def l3(spark, d):
     t = AL.sort_samples(AL.alerts(critical(spark, d)))
-    return t.select("alert_type", "group_key", "timestamp", F.transform("sample_events", lambda e: e["prefix"]).alias("prefixes"))
+    return t.select("alert_type", "group_key", "classification", "timestamp", F.array_join(
+        F.transform("sample_events", lambda e: e["prefix"]), " ").alias("prefixes"))
 
 
 @query("a20_shown_alerts", sql(["classified", "as_info"], "SELECT alert_type, group_key, tick AS timestamp FROM lat WHERE pct > 0 AND (v4 >= 5000 OR v6 >= 500)", FIRE_SQL, recursive=True))
@@ -967,21 +970,31 @@ def classify_updates(spark, d):
         {c: F.col(f"anomaly_details.{c}") for c in CL.DETAILS}).drop("leak_detail", "anomaly_details")
 
 
-@query("classified_summary")
+# The classified events under the names the other checks read.
+E2E_SQL = JUDGED_SQL + ", classified AS (SELECT * FROM events_)"
+
+
+@query("classified_summary", sql(EVENT_TABLES, "SELECT * FROM sc", E2E_SQL + ", " + ", ".join([
+    """st AS (SELECT prefix, ts AS last_update_ts, state_class AS classified_type, state_asn AS origin_asn FROM (
+  SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY ts DESC, coalesce(update_id, -1) DESC) AS rn FROM classified
+  WHERE is_withdrawal OR (classification <> old_classification AND state_class = classification)) WHERE rn = 1)""",
+    PS_SQL, space_sql("classified_type", "cl"), SUMMARY_SQL]), recursive=True))
 def classified_summary(spark, d):
     """Flagship: updates -> classes -> prefix states -> summary by class."""
     e = events_of(spark, d)
     now = e.agg(F.max("ts")).first()[0]
-    return SU.summary_classes(cut(SU.prefix_state(e)), e, now, START)
+    return SU.summary_classes(cut(SU.prefix_state(e)), e, now, START).withColumn(
+        "messages_per_second", r6("messages_per_second"))
 
 
-@query("classified_transitions")
+@query("classified_transitions", sql(EVENT_TABLES, """SELECT incident_id, prefix, tr.asn, coalesce(nm, '') AS as_name, new_state, old_state, start_time, end_time, ts FROM tr LEFT JOIN n2 ON n2.asn = tr.asn""",
+    E2E_SQL + ", " + TRANS_SQL, recursive=True))
 def classified_transitions(spark, d):
     t = IN.transitions(events_of(spark, d), dims(spark, d))
     return t.select("incident_id", "prefix", "asn", "as_name", "new_state", "old_state", "start_time", "end_time", "ts")
 
 
-@query("classified_alerts")
+@query("classified_alerts", sql(EVENT_TABLES, "SELECT alert_type, group_key, classification, tick, events_count, delta FROM ca", E2E_SQL + ", " + ALERT_SQL, recursive=True))
 def classified_alerts(spark, d):
     c = cut(AL.critical_events(events_of(spark, d), load(spark, d, "as_info")))
     return AL.alert_candidates(c).select("alert_type", "group_key", "classification", "tick", "events_count", "delta")
