@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.paths import parse_path
-from ..session import cut
+from ..session import cut, small
 
 
 def distinct_paths(updates: DataFrame) -> DataFrame:
@@ -108,5 +108,5 @@ def leak_patterns(df: DataFrame, updates: DataFrame, flags: DataFrame, when=None
     wanted = ~F.col("is_withdrawal") if when is None else ~F.col("is_withdrawal") & when
     spread = F.concat(F.lit("#"), F.pmod(F.col("update_id"), F.lit(4096)).cast("string"))
     df = df.withColumn("_path", F.when(wanted, F.col("path_str")).otherwise(spread))
-    df = df.join(table, "_path", "left")
+    df = df.join(small(table), "_path", "left")
     return df.withColumn("leak", leak_detail(F.col("triples"), F.col("ts"))).drop("_path", "triples")

@@ -9,11 +9,10 @@ short. Keys that are not hot use plain windows.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, small
 
 SLICE, CHUNK = "_slice", "_chunk"
 SLICE_STEPS = 10        # slices of 60 * 2^k seconds, k = 0..10
-BROADCAST_ROWS = 200_000
 
 
 def find_hot(df: DataFrame, key="prefix", target_rows=2_000_000):
@@ -44,8 +43,7 @@ def split_hot(df: DataFrame, hot, key="prefix"):
     df = df.withColumn(SLICE, F.lit(None).cast("long")).withColumn(CHUNK, F.lit(0).cast("long"))
     if hot is None:
         return df, None
-    if hot.count() <= BROADCAST_ROWS:  # checked size; beyond it Spark picks the join
-        hot = F.broadcast(hot)
+    hot = small(hot)
     sliced = df.drop(SLICE, CHUNK).join(hot, key).withColumn(CHUNK, chunk_of())
     return df.join(hot, key, "left_anti"), sliced
 

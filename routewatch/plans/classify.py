@@ -19,7 +19,7 @@ from ..operators.prefix_join import lpm_join
 from ..operators.rpki import rpki_status
 from ..operators.scan import CHUNK, SLICE, Running, find_hot, place, running, split_hot
 from ..operators.sessions import prefix_counts, session_changes
-from ..session import cut
+from ..session import cut, small
 from .lifecycle import CONTINUED, ENDED, ENTERED, QUIET, Life
 
 UPDATE_COLS = ["update_id", "ts", "prefix", "host", "peer", "is_withdrawal", "origin_asn", "path_str",
@@ -77,7 +77,7 @@ def foreign_hosts(changes: DataFrame, pairs: DataFrame, hot=None) -> DataFrame:
                           F.explode(F.array(leave, enter)).alias("e"))
     rows = rows.select("prefix", "host", "ts", "update_id", SLICE, CHUNK, "e.o", "e.d",
                        F.col("e.asn").alias("origin_asn")).filter("origin_asn <> 0")
-    rows = rows.join(pairs, ["prefix", "origin_asn"], "left_semi")
+    rows = rows.join(small(pairs), ["prefix", "origin_asn"], "left_semi")
     order = ["ts", "update_id", "o"]
     rows = running(rows, ["prefix", "origin_asn", "host"], order, {"n": Running("sum", F.col("d"))}, hot)
     flip = (F.col("n") > 0).cast("long") - (F.col("n") - F.col("d") > 0).cast("long")
@@ -114,7 +114,7 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     else:
         flags = as_flags(updates.sparkSession.createDataFrame(
             [], "asn long, heg_v4 double, heg_v6 double, pop_pct double, pop_users long"))
-    cold_rows, hot_rows = split_hot(_as_of_update(updates, facts), hot)
+    cold_rows, hot_rows = split_hot(_as_of_update(updates, small(facts)), hot)
     df = _counted(cold_rows, pairs)
     if hot_rows is not None:
         df = df.unionByName(_counted(hot_rows, pairs, hot))
@@ -171,7 +171,7 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
 # Life cycle over sorted Arrow batches
 
 READ = ["prefix", CHUNK, "ts", "is_withdrawal", "cand", "cand_leak", "needs_check", "fw_ts", "last_asn",
-        "historical_asn", "flap_cycle", "n_withdrawn", "wd_10m", "wd_10m_next", "geo", "carry", "is_last"]
+        "historical_asn", "flap_cycle", "n_withdrawn", "wd_10m", "wd_10m_next", "carry", "is_last"]
 MADE = [("kind", pa.int32()), ("classification", pa.int32()), ("old_classification", pa.int32()),
         ("state_class", pa.int32()), ("incident_class", pa.int32()), ("incident_ts", pa.int64()),
         ("incident_start_time", pa.int64()), ("leak_type", pa.int32()), ("leaker_asn", pa.int64()),
@@ -207,30 +207,40 @@ class Replay:
             self.made, self.found, self.ends = [], [], []
             names = batch.schema.names
             cols = [batch.column(names.index(c)).to_pylist() for c in READ]
-            for row in zip(*cols):
-                self._take(*row)
+            self.geo = batch.column(names.index("geo"))
+            for i, row in enumerate(zip(*cols)):
+                self._take(i, *row)
+            self._settle()
             yield batch
         self.made, self.found, self.ends = [], [], []
         self._close()
         yield None
 
+    def _settle(self):
+        """Turn the place of the last row from a row number of this batch into values."""
+        last = self.life.last if self.life else None
+        if last is not None and isinstance(last[-1], int):
+            self.life.last = (*last[:-1], self.geo[last[-1]].as_py())
+
     def _close(self):
         if self.place is None:
             return
+        self._settle()
         if self.is_last:
             self._check(self.now)
         self.ends.append((self.place, self.life))
 
     def _check(self, until):
         life = self.life
+        self._settle()
         for at, incident in life.checks(until):
             _, asn, n_wd, wd, wd_next, prev_ts, hist, geo = life.last
             # a minute of withdrawals may have left the look-back since the last update
             total = wd if _edge(at) == _edge(prev_ts) else wd_next
             self.found.append((self.place, at, asn, hist, n_wd, total, incident, geo))
 
-    def _take(self, prefix, chunk, ts, wd, cand, leak, ask, fw, asn, hist, cycle, n_wd, w10, w10n,
-              geo, carry, is_last):
+    def _take(self, i, prefix, chunk, ts, wd, cand, leak, ask, fw, asn, hist, cycle, n_wd, w10, w10n,
+              carry, is_last):
         if (prefix, chunk) != self.place:
             self._close()
             self.place, self.is_last = (prefix, chunk), is_last
@@ -241,7 +251,7 @@ class Replay:
         if leak is not None:
             leak = (leak["leak_type"], leak["leaker_asn"], leak["victim_asn"])
         kind, cls, old, incident, start, shown = life.step(ts, wd, cand, leak, hist, cycle)
-        life.last = (fw, asn, n_wd, w10, w10n, ts, hist, geo)
+        life.last = (fw, asn, n_wd, w10, w10n, ts, hist, i)
         if ask:
             life.ask(ts)
         self.made.append(_made(kind, cls, old, life.cls, incident, start, shown))
@@ -305,8 +315,11 @@ def _slice_ends(batches):
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _sorted_groups(df: DataFrame) -> DataFrame:
-    return df.repartition("prefix", CHUNK).sortWithinPartitions("prefix", CHUNK, "ts", "update_id")
+def _sorted_groups(df: DataFrame, sliced=True) -> DataFrame:
+    """Whole groups per partition, in order. Without slices the rows lie by prefix already, and
+    Spark drops the repeated shuffle."""
+    place = ["prefix", CHUNK] if sliced else ["prefix"]
+    return df.repartition(*place).sortWithinPartitions("prefix", CHUNK, "ts", "update_id")
 
 
 def _slice_carries(rows: DataFrame) -> DataFrame:
@@ -343,7 +356,7 @@ def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
     """
     # Only small columns cross into Python as values; the rest passes through as Arrow.
     df = prepared.withColumn("geo", F.struct("lat", "lon", "city", "country"))
-    narrow = [c for c in READ if c not in ("carry", "is_last")]
+    narrow = [c for c in READ if c not in ("carry", "is_last")] + ["geo"]
     if SLICE not in prepared.columns:
         df = df.withColumns({"carry": F.lit(None).cast("string"), "is_last": F.lit(True)})
     else:
@@ -357,7 +370,7 @@ def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
     kept = [f for f in prepared.schema.fields if f.name not in ("cand_leak", "needs_check", SLICE)]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept]
                           + T._parse_datatype_string(MADE_DDL).fields)
-    out = _sorted_groups(df).mapInArrow(_events(now, schema), schema)
+    out = _sorted_groups(df, SLICE in prepared.columns).mapInArrow(_events(now, schema), schema)
     incident = F.when(F.col("incident_ts").isNotNull(), F.md5(F.concat_ws(
         "|", "prefix", F.col("incident_class").cast("string"), F.col("incident_ts").cast("string"))))
     quiet = F.col("kind") == QUIET

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(master="local[*]", shuffle_partitions=8, app="routewatch"):
@@ -15,6 +15,8 @@ def get_spark(master="local[*]", shuffle_partitions=8, app="routewatch"):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # a join on (prefix, update_id) may use rows that already lie by prefix
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
@@ -36,3 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="routewatch-ckpt-")
         sc.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
+    """A written-out table as broadcast side if it has few rows, else as it is (shuffled join)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

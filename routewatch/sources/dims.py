@@ -4,6 +4,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.prefix_join import lpm_join
+from ..session import cut, small
 
 SCHEMAS = {
     "seen": "prefix string, origin_asn long",
@@ -35,19 +36,16 @@ def geo_enrich(updates: DataFrame, geo: DataFrame) -> DataFrame:
     """
     ranks = [r[0] for r in geo.select("source_rank").distinct().orderBy("source_rank").collect()]
     found = updates.drop("lat", "lon", "city", "country")
-    places = {}
     for col in ("prefix", "peer"):
+        # One row per address, all tables asked; the updates themselves are joined once.
+        spots = updates.select(col).distinct()
         for rank in ranks:  # one per location database, a handful
-            name = f"_{col}_{rank}"
             table = geo.filter(F.col("source_rank") == rank).select("prefix", F.struct(
-                "lat", "lon", "city", "country").alias(name))
-            keys = updates.select(col).distinct()
-            hit = lpm_join(keys, col, table, [name]).drop("match_len")
-            places[name] = None
-            found = found.join(hit, col, "left")
-    spot = F.coalesce(*[F.col(p) for p in places])
+                "lat", "lon", "city", "country").alias(f"_r{rank}"))
+            spots = lpm_join(spots, col, table, [f"_r{rank}"]).drop("match_len")
+        spots = spots.select(col, F.coalesce(*[F.col(f"_r{r}") for r in ranks]).alias(f"_{col}"))
+        found = found.join(small(cut(spots)), col, "left")
+    spot = F.coalesce("_prefix", "_peer")
     return found.withColumns({
         "lat": F.coalesce(spot["lat"], F.lit(0.0)), "lon": F.coalesce(spot["lon"], F.lit(0.0)),
-        "city": spot["city"], "country": spot["country"]}).drop(*places)
-
-
+        "city": spot["city"], "country": spot["country"]}).drop("_prefix", "_peer")
