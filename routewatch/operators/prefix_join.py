@@ -35,24 +35,25 @@ def _as_prefix(col):
 
 
 def lpm_join(left: DataFrame, addr_col: str, table: DataFrame, value_cols,
-             prefix_col="prefix", tie_col=None) -> DataFrame:
+             prefix_col="prefix", rank_col=None) -> DataFrame:
     """Left join: the most specific table prefix that covers the address in ``addr_col``.
 
     ``addr_col`` holds an address or a prefix (its network address is used). Adds ``value_cols``
-    and ``match_len``; null where nothing covers. Among equal prefixes the smallest ``tie_col``
-    wins, else the smallest values.
+    and ``match_len``; null where nothing covers. Among equal prefixes the smallest values win.
+    With ``rank_col`` the lowest rank that covers the address answers, whatever its length.
     """
     values = list(value_cols)
-    tie = [tie_col] if tie_col and tie_col not in values else []
-    t = prefix_table(table, [*values, *tie], prefix_col)
-    first = ([F.col(tie_col).alias("_tie")] if tie_col else []) + [F.col(v) for v in values]
-    t = t.groupBy("family", "len", "net_key").agg(F.min(F.struct(*first)).alias("_v"))
+    rank = F.lit(0) if rank_col is None else F.col(rank_col)
+    t = prefix_table(table, [*values, *([rank_col] if rank_col else [])], prefix_col).withColumn("_rank", rank)
+    t = t.groupBy("family", "len", "net_key", "_rank").agg(F.min(F.struct(*values)).alias("_v"))
     p = left.select(addr_col).distinct().withColumn("_p", _as_prefix(addr_col))
     p = prefix_table(p, [addr_col], "_p").select(
         addr_col, "family", F.col("len").alias("plen"), "bits")
     hits = _probe_keys(p, t).join(t, ["family", "len", "net_key"])
-    best = hits.groupBy(addr_col).agg(F.max_by("_v", "len").alias("_v"), F.max("len").alias("match_len"))
-    best = best.select(addr_col, "match_len", *[F.col(f"_v.{v}").alias(v) for v in values])
+    best = hits.groupBy(addr_col).agg(
+        F.min_by(F.struct("len", "_v"), F.struct("_rank", -F.col("len"))).alias("_b"))
+    best = best.select(
+        addr_col, F.col("_b.len").alias("match_len"), *[F.col(f"_b._v.{v}").alias(v) for v in values])
     return left.join(best, addr_col, "left")
 
 

@@ -34,17 +34,13 @@ def geo_enrich(updates: DataFrame, geo: DataFrame) -> DataFrame:
     Several location tables are asked in order of ``source_rank``: the first that covers the
     address answers with its most specific entry.
     """
-    ranks = [r[0] for r in geo.select("source_rank").distinct().orderBy("source_rank").collect()]
     found = updates.drop("lat", "lon", "city", "country")
     for col in ("prefix", "peer"):
-        # One row per address, all tables asked; the updates themselves are joined once.
-        spots = updates.select(col).distinct()
-        for rank in ranks:  # one per location database, a handful
-            table = geo.filter(F.col("source_rank") == rank).select("prefix", F.struct(
-                "lat", "lon", "city", "country").alias(f"_r{rank}"))
-            spots = lpm_join(spots, col, table, [f"_r{rank}"]).drop("match_len")
-        spots = spots.select(col, F.coalesce(*[F.col(f"_r{r}") for r in ranks]).alias(f"_{col}"))
-        found = found.join(small(cut(spots)), col, "left")
+        # One row per address, looked up once; the updates themselves are joined once.
+        table = geo.select("prefix", "source_rank", F.struct("lat", "lon", "city", "country").alias(f"_{col}"))
+        spots = lpm_join(updates.select(col).distinct(), col, table.withColumnRenamed("prefix", "net"),
+                         [f"_{col}"], "net", "source_rank")
+        found = found.join(small(cut(spots.drop("match_len"))), col, "left")
     spot = F.coalesce("_prefix", "_peer")
     return found.withColumns({
         "lat": F.coalesce(spot["lat"], F.lit(0.0)), "lon": F.coalesce(spot["lon"], F.lit(0.0)),
