@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .fixtures import dims, load
 from .functions import ipaddr, paths, text
-from .functions.classes import classes, leak_label, leak_labels, priority, display_name, display_priority
+from .functions.classes import classes, leak_label
 from .operators import address_space, anomaly, bogons, leaks, networks, prefix_join, rates, rpki, sessions, tiles
 from .oracle import at, covers, parsed, sql
 from .plans import alerts as AL

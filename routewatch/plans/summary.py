@@ -1,10 +1,10 @@
 """State tables and summaries."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.classes import classes, display_name, display_priority
-from ..functions.ipaddr import is_ipv4, ipv4_size, prefix_table
+from ..functions.ipaddr import is_ipv4, prefix_table
 from ..functions.text import human_number, short_number
 from ..operators.address_space import covered_ipv4
 from ..operators.networks import as_names
