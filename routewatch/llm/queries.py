@@ -77,18 +77,18 @@ _TEXT = "coalesce(text, '')"
 _OP1 = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS content, md5(coalesce(text, '')) AS text_md5 FROM documents),
 lines AS (
-  SELECT doc_id, text_md5, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS at
+  SELECT doc_id, text_md5, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no
   FROM docs),
 hashed AS (SELECT *, CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS h FROM lines),
 rolled AS (
   SELECT *, (h + coalesce(lag(h) OVER p, 0) * 1000003 % 2147483647) % 2147483647 % 3 = 0 OR lead(h) OVER p IS NULL AS ends
-  FROM hashed WINDOW p AS (PARTITION BY doc_id, text_md5 ORDER BY at)),
+  FROM hashed WINDOW p AS (PARTITION BY doc_id, text_md5 ORDER BY line_no)),
 numbered AS (
   SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (
-    PARTITION BY doc_id, text_md5 ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
+    PARTITION BY doc_id, text_md5 ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
   FROM rolled),
 chunks AS (
-  SELECT doc_id, text_md5, no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY at) AS chunk
+  SELECT doc_id, text_md5, no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS chunk
   FROM numbered GROUP BY doc_id, text_md5, no),
 ranked AS (
   SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, text_md5, no) > 1 AS gone FROM chunks)
