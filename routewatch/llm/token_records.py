@@ -11,6 +11,7 @@ not in it, and later steps read the manifest alone.
 """
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,12 +22,16 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .byte_letters import LETTERS
 from .crc32c import crc32c, masked
+from .recent import Recent
 from .shared import file_system, shared_folder, whole_text
 
 END_ID = 1
-#: Words kept per Python worker; beyond it the memory is emptied, which costs time only.
-KEPT = 300_000
+#: Whole words and their letters kept per Python worker; those that drop out are encoded again.
+KEPT_WORDS, KEPT_LETTERS = 50_000, 400_000
+#: A word of Latin letters and marks behind it: the vocabulary's pattern parts them, and lower-cases letters one by one.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#&%$]*)")
 FRAME = 16
 MANIFEST = "shard long, records_file string, index_file string, n_records long, n_tokens long, n_bytes long, id_bytes int"
 
@@ -46,17 +51,24 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.words = {}
+        self.kind = f"<u{self.id_bytes}"
+        self.words = Recent(KEPT_WORDS, self._word)
+        self.letters, self.marks = Recent(KEPT_LETTERS, self._letters), Recent(KEPT_WORDS, self._any)
+
+    def _word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        return self.letters[plain[1].lower()] + self.marks[plain[2]] if plain else self._any(word)
+
+    def _letters(self, letters: str) -> bytes:
+        """One pre-token of lower-case letters: the vocabulary's merges alone."""
+        written = letters if letters.isascii() else "".join(map(LETTERS.__getitem__, letters.encode("utf-8")))
+        return np.array([t.id for t in self.library.model.tokenize(written)], self.kind).tobytes()
+
+    def _any(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.words]
-        if new:
-            if len(self.words) + len(new) > KEPT:
-                self.words, new = {}, list(set(words))
-            for word, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.words[word] = np.array(encoded.ids, f"<u{self.id_bytes}").tobytes()
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -127,7 +139,7 @@ def _shard_writer(folder, vocabulary, end_id):
                 out = files.open_output_stream(f"{root}/shard-{shard:06d}-{name}.records")
             texts = part.column("content")
             for at in range(0, part.num_rows, 500):
-                data = [encode(t) + end for t in texts.slice(at, 500).to_pylist()]
+                data = [encode(text) + end for text in texts.slice(at, 500).to_pylist()]
                 out.write(b"".join(frames(data)))
                 for d in data:
                     offsets.append(offset)
