@@ -20,10 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .byte_letters import BYTES
+from .recent import Recent
 from .shared import whole_text
 
-#: Pieces kept per Python worker; beyond it the memory is emptied, which costs time only.
-KEPT = 300_000
+#: Pieces, and runs, pairs and beginnings of words, kept per Python worker; those that drop out are counted again.
+KEPT_PIECES, KEPT = 50_000, 300_000
 #: White space before, then other characters; or white space at the end of the text.
 PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -32,18 +34,11 @@ SPLIT = regex.compile(r"(\p{White_Space}*)(\P{White_Space}*)")
 #: Fixed value: the pre-tokeniser's pattern of the vocabulary, with white space by its Unicode property.
 PRETOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: A word without apostrophes or special strings, with one blank before it at most.
-SIMPLE = re.compile(r" ?[^\s'|]+")
+#: Latin letters with one blank before them at most, and marks behind them: two pre-tokens, no special string.
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#&%$]*)")
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 
 
-def _byte_letters():
-    """Vocabulary files write printable bytes as themselves and the others as letters from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def _changes(counts: list[int]) -> bytes:
     """Counts as signed bytes, each the change from the one before; a token has fewer than 129 bytes, so they fit."""
     return bytes([b - a & 255 for a, b in zip([0, *counts], counts)])
@@ -53,6 +48,10 @@ def _total(changes: bytes) -> int:
     return sum(changes) - 256 * sum(b > 127 for b in changes)
 
 
+#: The rank of a pair that is not merged.
+NONE = 1 << 60
+
+
 class PrefixCounter:
     """Counts for one byte-level vocabulary file of the tokenizers library."""
 
@@ -64,8 +63,7 @@ class PrefixCounter:
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
-        letters = _byte_letters()
-        as_bytes = lambda word: bytes(letters[c] for c in word)
+        as_bytes = lambda word: bytes(BYTES[c] for c in word)
         self.vocabulary = {as_bytes(w) for w in spec["model"]["vocab"]}
         self.longest = max(map(len, self.vocabulary))
         self.ranks = {}
@@ -74,43 +72,42 @@ class PrefixCounter:
             self.ranks[as_bytes(a), as_bytes(b)] = rank
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.pairs, self.pieces, self.runs, self.prefixes = {}, {}, {}, {}
+        self.pieces, self.runs = Recent(KEPT_PIECES, self._piece_deltas), Recent(KEPT, self._run_deltas)
+        self.pairs, self.prefixes = Recent(KEPT, self._follows), {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding of a short byte string by the merge rules."""
         parts = [data[i:i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            ranks = [self.ranks.get(p, NONE) for p in zip(parts, parts[1:])]
+            first = min(ranks)
+            if first == NONE:
                 break
+            at = ranks.index(first)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, before: bytes, token: bytes) -> bool:
-        known = self.pairs.get((before, token))
-        if known is None:
-            if len(self.pairs) > KEPT:
-                self.pairs.clear()
-            known = self.pairs[before, token] = self.merged(before + token) == [p for p in (before, token) if p]
-        return known
+    def _follows(self, pair: tuple[bytes, bytes]) -> bool:
+        return self.merged(pair[0] + pair[1]) == [p for p in pair if p]
 
     def byte_counts(self, data: bytes) -> list[int]:
         """Tokens of every byte prefix of one pre-token, from the empty one on."""
-        counts, last, known = [0], [b""], self.prefixes if len(data) <= 32 else {}
+        counts, last, short = [0], [b""], len(data) <= 32
+        vocabulary, pairs, prefixes = self.vocabulary, self.pairs, self.prefixes
         for end in range(1, len(data) + 1):
-            found = known.get(data[:end]) if len(data) <= 32 else None  # words share their beginnings
+            found = prefixes.get(data[:end]) if short else None  # words share their beginnings
             if found is None:
                 for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
                     token = data[start:end]
-                    if token in self.vocabulary and self._follows(last[start], token):
+                    if token in vocabulary and pairs[last[start], token]:
                         found = (counts[start] + 1, token)
                         break
-                if len(data) <= 32:
-                    known[data[:end]] = found
+                if short:
+                    prefixes[data[:end]] = found
             counts.append(found[0])
             last.append(found[1])
-        if len(self.prefixes) > KEPT:
-            self.prefixes.clear()
+        if len(prefixes) > 2 * KEPT:
+            prefixes.clear()
         return counts
 
     def _run(self, run: str) -> list[int]:
@@ -119,18 +116,19 @@ class PrefixCounter:
         return counts[1:] if run.isascii() else [counts[at] for at in accumulate(len(c.encode("utf-8")) for c in run)]
 
     def _run_deltas(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            if len(self.runs) > KEPT:
-                self.runs.clear()
-            found = self.runs[run] = _changes(self._run(run))
-        return found
-
-    def piece_deltas(self, piece: str) -> bytes:
-        """The changes of ``counts`` from prefix to prefix; a word with at most one blank before it adds up its runs."""
-        if SIMPLE.fullmatch(piece):
-            return b"".join(map(self._run_deltas, PRETOKEN.findall(piece)))
-        return _changes(self.counts(piece))
+        return _changes(self._run(run))
+
+    def _piece_deltas(self, piece: str) -> bytes:
+        """The changes of ``counts`` from prefix to prefix; the library's count of the whole piece holds."""
+        if simple := SIMPLE.fullmatch(piece):
+            return self.runs[simple[1]] + self.runs[simple[2]]
+        changes = _changes(self.counts(piece))
+        if _total(changes) != self._library_counts([piece])[0]:
+            changes = _changes(self._library_counts([piece[:i + 1] for i in range(len(piece))]))
+        return changes
+
+    def _library_counts(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ordinary(self, text: str) -> list[int]:
         """Tokens of every character prefix of a text without special tokens."""
@@ -163,32 +161,10 @@ class PrefixCounter:
             start = found.end()
         return out + [base + n for n in self._ordinary(text[start:])]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > KEPT:
-            self.pieces.clear()
-        totals = [len(e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        for piece, total in zip(pieces, totals):
-            changes = self.piece_deltas(piece)
-            if _total(changes) != total:  # the library's count holds: ask it for every prefix
-                changes = _changes([len(e.ids) for e in self.library.encode_batch_fast(
-                    [piece[:i + 1] for i in range(len(piece))], add_special_tokens=False)])
-            self.pieces[piece] = changes
-
     def deltas(self, text: str) -> bytes:
         """One signed byte per character: by how much its prefix has more tokens than the one before."""
         pieces = PLAIN.findall(text) if not OTHER_SPACE.search(text) else ANY.findall(text)
-        for at in range(0, len(pieces), KEPT // 2):
-            if new := [p for p in set(pieces[at:at + KEPT // 2]) if p not in self.pieces]:
-                self._learn(new)
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:  # the memory was emptied on the way: go part by part
-            out = []
-            for piece in pieces:
-                if piece not in self.pieces:
-                    self._learn([piece])
-                out.append(self.pieces[piece])
-            return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -218,7 +194,8 @@ def prefix_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     def batches(parts):
         count = counter(vocabulary)
         for part in parts:
-            found = [(len(t.encode("utf-8")), count.deltas(t)) for t in part.column("content").to_pylist()]
+            texts = part.column("content").to_pylist()
+            found = [(len(t.encode("utf-8")), count.deltas(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array([n for n, _ in found], pa.int64()),
                 pa.array([int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for _, d in found], pa.int64()),
