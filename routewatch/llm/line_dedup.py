@@ -70,7 +70,8 @@ def line_dedup(docs: DataFrame, window=WINDOW, divisor=DIVISOR, min_lines=MIN_LI
     marked = written(marked, "marked-chunks")
 
     # their texts, compared byte by byte
-    candidates = rows.join(marked.withColumnRenamed("doc_id", "d").withColumnRenamed("text_md5", "t"),
+    # merge joins at every size: a broadcast would hold only while few documents share chunks
+    candidates = rows.join(marked.withColumnRenamed("doc_id", "d").withColumnRenamed("text_md5", "t").hint("merge"),
                            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("t")))
     candidates = written(_texts(candidates.withColumn("chunks", F.filter("chunks", lambda c: F.array_contains("marked", c.no))), several), "candidate-chunks")
     same = ["chunk"]
@@ -82,7 +83,7 @@ def line_dedup(docs: DataFrame, window=WINDOW, divisor=DIVISOR, min_lines=MIN_LI
     gone = gone.groupBy("doc_id", "text_md5").agg(F.collect_set("no").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_md5").alias("t"), "gone")
 
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("t")), "left")
+    out = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("t")), "left")
     out = _held(out, removed=F.filter("chunks", lambda c: F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c.no)),
                 stays=F.filter("chunks", lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c.no)))
     kept = F.flatten(F.transform("stays", lambda c: F.slice("lines", c["first"] + 1, c.n_lines)))
