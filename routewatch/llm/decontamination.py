@@ -149,7 +149,7 @@ class ItemIndex:
             hits = self._hits(hashes, k)
             if len(hits):
                 self._windows(hashes, hits, k, len(words), best)
-        return [(item, start, size, similarity) for item, (similarity, start, size) in sorted(best.items())]
+        return [(item, start, size, similarity) for item, (similarity, start, size) in best.items()]
 
     def _windows(self, hashes, hits, k, n_words, best):
         held = np.zeros(len(hashes) + 1, np.int64)
@@ -185,7 +185,7 @@ class ItemIndex:
 
 def indexes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """The items (item_id, text) in blocks of about ``PASS_BYTES``; null texts are left out, equal rows counted once."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("content")).dropna().distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("content")).dropna(subset=["content"]).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
     blocks = int(total // PASS_BYTES) + 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("content"), F.lit(blocks)))
