@@ -489,7 +489,9 @@ states AS (SELECT prefix, m * 60 AS minute_ts, n, mean, var FROM ew WHERE cur =
 @query("w6_ewma_states", sql(["classified"], "SELECT prefix, minute_ts, n::BIGINT AS n, round(mean, 9) AS mean, round(var, 9) AS var FROM states", EWMA_SQL, recursive=True))
 def w6(spark, d):
     c = load(spark, d, "classified").filter(F.col("classification").isin(K.CRITICAL))
-    return anomaly.minute_states(c).withColumns({"mean": F.round("mean", 9), "var": F.round("var", 9)})
+    # scaled, rounded and scaled back, as the SQL's round() does; Spark's rounds the shortest decimal text
+    rounded = lambda x: F.floor(F.col(x) * 1e9 + 0.5) / F.lit(1e9)
+    return anomaly.minute_states(c).withColumns({"mean": rounded("mean"), "var": rounded("var")})
 
 
 @query("w6_prefix_zscores", sql(["classified"], f"""SELECT prefix, round(CASE WHEN sqrt(var) < 1e-5 THEN greatest(k - mean, 0) ELSE (k - mean) / sqrt(var) END, 5) AS z FROM (
@@ -785,7 +787,7 @@ def a23_orgs(spark, d):
  FROM tr LEFT JOIN as_info USING (asn) GROUP BY 1""", TRANS_SQL, recursive=True))
 def a23_days(spark, d):
     t = IN.day_transitions(cut(trans(spark, d, names=True)))
-    e = F.col("latest_events")[0]
+    e = F.col("newest")
     return t.select("day", "total_transitions", "unique_orgs", (e["ts"] * 1000000000 + e["update_id"]).alias("newest"))
 
 
@@ -872,11 +874,11 @@ def a20_alerts(spark, d):
     return IN.shown_alerts(AL.alerts(critical(spark, d), samples=False)).select("alert_type", "group_key", "timestamp")
 
 
-@query("a22_day_summary", sql(["classified", "as_info", "roas"], f"""SELECT {NOW} AS date, g.asn_count AS unique_asns, g.prefix_count AS unique_prefixes, al.ipv4_count, (SELECT count(DISTINCT {KEY_SQL}) FROM lat) AS n_alerts FROM ({GLOBAL_SQL} FROM st) g, al""",
+@query("a22_day_summary", sql(["classified", "as_info", "roas"], f"""SELECT {NOW} AS date, g.asn_count AS unique_asns, g.prefix_count AS unique_prefixes, al.ipv4_count, (SELECT CAST(sum(least(c, 10)) AS BIGINT) FROM (SELECT count(DISTINCT {KEY_SQL}) AS c FROM lat GROUP BY classification)) AS n_alerts FROM ({GLOBAL_SQL} FROM st) g, al""",
     ", ".join([FIRE_SQL, STATE_SQL, PS_SQL, space_sql("", "al")]), recursive=True))
 def a22(spark, d):
     table = AL.merge_alerts(None, AL.alerts(critical(spark, d)))
-    day = SU.day_summary(cut(summary_row(spark, d)), AL.recent_alerts(table, last_ts(spark, d), 1000))
+    day = SU.day_summary(cut(summary_row(spark, d)), AL.recent_alerts(table, last_ts(spark, d)))
     return day.select("date", "unique_asns", "unique_prefixes", "ipv4_count", F.size("top_alerts").cast("long").alias("n_alerts"))
 
 

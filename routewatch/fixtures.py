@@ -76,7 +76,7 @@ SELECT '192.0.2.0/24' AS prefix UNION ALL SELECT '198.51.100.0/24' UNION ALL SEL
 UNION ALL SELECT '10.0.0.0/8' UNION ALL SELECT '2400:4000::/18'""",
     # Networks: customers and suppliers stand for origin ASNs; a few transit networks by hand.
     "as_info": """
-SELECT CAST(1000 + c_custkey AS BIGINT) AS asn,
+SELECT CAST(CASE WHEN c_custkey BETWEEN 8000 AND 8999 OR c_custkey IN (2356, 5939) THEN 4300000000 ELSE 1000 END + c_custkey AS BIGINT) AS asn,
   CASE WHEN c_custkey % 10 = 0 THEN concat('AS', CAST(1000 + c_custkey AS STRING)) WHEN c_custkey % 10 = 1 THEN ''
        WHEN c_custkey % 10 = 2 THEN concat('Google Fiber ', CAST(c_custkey AS STRING)) ELSE c_name END AS name,
   CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE n_name END AS org_name,
@@ -86,10 +86,10 @@ SELECT CAST(1000 + c_custkey AS BIGINT) AS asn,
   CAST(c_custkey * 10000 AS BIGINT) AS pop_users
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 UNION ALL
-SELECT CAST(9000 + s_suppkey AS BIGINT), CASE WHEN s_suppkey % 10 = 2 THEN concat('GOOGLE ', s_name) ELSE s_name END,
+SELECT CAST(CASE WHEN s_suppkey < 1000 THEN 9000 ELSE 4200000000 END + s_suppkey AS BIGINT), CASE WHEN s_suppkey % 10 = 2 THEN concat('GOOGLE ', s_name) ELSE s_name END,
   CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE NULL END, n_name, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE),
   CAST(0.0 AS DOUBLE), CAST(0 AS BIGINT)
-FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_suppkey < 1000
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 UNION ALL SELECT CAST(6939 AS BIGINT), 'HURRICANE', 'Hurricane', 'NATION_1', CAST(0.03 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0 AS BIGINT)
 UNION ALL SELECT CAST(3356 AS BIGINT), 'LEVEL3', 'Lumen', 'NATION_2', CAST(0.2 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0 AS BIGINT)""",
     "as_siblings": """

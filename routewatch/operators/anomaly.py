@@ -11,34 +11,49 @@ BLOCK = 1024  # minutes; 0.95^1024 is far below double precision
 def minute_states(critical: DataFrame) -> DataFrame:
     """Per (prefix, minute with events): count, and the EWMA mean and variance before it.
 
-    The update rule ``var = a * (var + d * inc)`` equals the decayed second moment minus the
-    squared mean, so both are decayed sums over the earlier minutes. They are summed per block of
-    1024 minutes with weights relative to the block; of older blocks only the last one still
-    counts. Minutes without events only decay. A prefix without events for an hour starts anew.
+    Blocks of 1024 minutes are folded in order by the update rule itself, each from the minutes of the
+    block before; of older ones nothing is left in double precision. Minutes without events
+    count zero; there are fewer than 60 in a row, as a prefix without events for an hour starts
+    anew, so a block is followed by the next one or none.
     """
-    n = critical.groupBy("prefix", F.floor(F.col("ts") / 60).alias("m")).agg(F.count("*").alias("n"))
+    return states_of(critical.groupBy("prefix", F.floor(F.col("ts") / 60).alias("m")).agg(F.count("*").alias("n")))
+
+
+def states_of(n: DataFrame) -> DataFrame:
+    """``minute_states`` of counts n per prefix and minute number m."""
     by = Window.partitionBy("prefix").orderBy("m")
     new = F.coalesce(F.col("m") - F.lag("m").over(by) > K.EWMA_RETENTION // 60, F.lit(True))
     n = n.withColumn("start", F.last(F.when(new, F.col("m")), ignorenulls=True).over(
         by.rowsBetween(Window.unboundedPreceding, 0)))
-    n = n.withColumn("block", F.floor((F.col("m") - F.col("start")) / BLOCK)).withColumn(
-        "j", F.pmod(F.col("m") - F.col("start"), F.lit(BLOCK)))
-    a = F.lit(K.EWMA_ALPHA)
-    up = F.pow(a, -F.col("j"))
-    n = n.withColumns({"_x": F.col("n") * up, "_xx": F.col("n") * F.col("n") * up})
-    inside = Window.partitionBy("prefix", "start", "block").orderBy("j").rowsBetween(
-        Window.unboundedPreceding, -1)
-    ends = n.groupBy("prefix", "start", (F.col("block") + 1).alias("block")).agg(
-        *[(F.sum(c) * F.pow(a, F.lit(BLOCK))).alias(f"_old{c}") for c in ("_x", "_xx")])
-    n = n.withColumns({f"_in{c}": F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c in ("_x", "_xx")})
-    n = n.join(ends, ["prefix", "start", "block"], "left")
-    # weights run from alpha^0 for the minute just before
-    down = F.pow(a, F.col("j") - 1) * F.lit(1 - K.EWMA_ALPHA)
-    total = lambda c: (F.col(f"_in{c}") + F.coalesce(F.col(f"_old{c}"), F.lit(0.0))) * down
-    n = n.select("prefix", (F.col("m") * 60).cast("long").alias("minute_ts"), "n",
-                 total("_x").alias("mean"), total("_xx").alias("_s"))
-    return n.select("prefix", "minute_ts", "n", "mean",
-                    F.greatest(F.col("_s") - F.col("mean") * F.col("mean"), F.lit(0.0)).alias("var"))
+    n = n.withColumn("block", F.floor((F.col("m") - F.col("start")) / BLOCK))
+    # at most 1024 minutes in an array
+    blocks = n.groupBy("prefix", "start", "block").agg(F.sort_array(F.collect_list(F.struct("m", F.col("n").cast("double").alias("n")))).alias("rows"))
+    before = blocks.select("prefix", "start", (F.col("block") + 1).alias("block"), F.col("rows").alias("old"))
+    both = blocks.join(before, ["prefix", "start", "block"], "left").withColumn("first", F.col("rows")[0]["m"])
+    both = both.withColumn("rows", F.when(F.col("old").isNull(), F.col("rows")).otherwise(F.concat("old", "rows")))
+
+    a, zero = F.lit(K.EWMA_ALPHA), F.lit(0.0)
+    state = "struct<m:bigint,mean:double,var:double,out:array<struct<m:bigint,n:double,mean:double,var:double>>>"
+
+    def after(mean, var, count):
+        d = count - mean
+        inc = F.lit(round(1 - K.EWMA_ALPHA, 12)) * d
+        return F.struct((mean + inc).alias("mean"), (a * (var + d * inc)).alias("var"))
+
+    def step(so_far, row):
+        quiet = F.coalesce(row["m"] - so_far["m"] - 1, F.lit(0))
+        here = F.aggregate(F.sequence(F.lit(1), F.greatest(quiet, F.lit(1))), F.struct(so_far["mean"].alias("mean"), so_far["var"].alias("var")),
+                           lambda s, i: F.when(i <= quiet, after(s["mean"], s["var"], zero)).otherwise(s))
+        # a function of one field keeps the state from being worked out for each use
+        return F.aggregate(F.array(here), so_far, lambda _, s: F.struct(
+            row["m"].alias("m"), after(s["mean"], s["var"], row["n"])["mean"].alias("mean"), after(s["mean"], s["var"], row["n"])["var"].alias("var"),
+            F.concat(so_far["out"], F.array(F.struct(row["m"].alias("m"), row["n"].alias("n"), s["mean"].alias("mean"), s["var"].alias("var")))).alias("out"),
+        ).cast(state))
+
+    nothing = F.struct(F.lit(None).cast("long").alias("m"), zero.alias("mean"), zero.alias("var"), F.array().alias("out")).cast(state)
+    folded = both.select("prefix", "first", F.explode(F.aggregate("rows", nothing, step, lambda s: s["out"])).alias("s"))
+    return folded.filter("s.m >= first").select(
+        "prefix", (F.col("s.m") * 60).cast("long").alias("minute_ts"), F.col("s.n").cast("long").alias("n"), "s.mean", "s.var")
 
 
 def z_score(count, mean, var):

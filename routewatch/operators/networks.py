@@ -5,11 +5,17 @@ from pyspark.sql import DataFrame, functions as F
 from .. import constants as K
 
 
+def one_per_asn(as_info: DataFrame) -> DataFrame:
+    """One row per ASN, so that joins on it never multiply rows: the smallest, column by column as they stand, nulls first."""
+    others = [c for c in as_info.columns if c != "asn"]
+    return as_info.groupBy("asn").agg(F.min(F.struct(*others)).alias("_row")).select("asn", "_row.*")
+
+
 def as_names(as_info: DataFrame) -> DataFrame:
     """asn -> display name (organisation, else a telling name, else the name) and organisation."""
     org, name, asn = F.col("org_name"), F.col("name"), F.col("asn")
     telling = (F.upper(name) != F.concat(F.lit("AS"), asn)) & (F.upper(name) != F.concat(F.lit("AS "), asn))
-    return as_info.select(
+    return one_per_asn(as_info).select(
         "asn",
         F.when(org != "", org).when((name != "") & telling, name).when(name != "", name).otherwise(
             org).alias("as_name"),
@@ -30,7 +36,7 @@ def as_flags(as_info: DataFrame) -> DataFrame:
     """asn -> is_tier1, is_large; the fixed lists hold also without a row in ``as_info``."""
     fixed = as_info.sparkSession.createDataFrame(
         [(a,) for a in K.TIER1_ASNS + K.LARGE_ASNS], "asn long")
-    df = as_info.select("asn", "heg_v4", "heg_v6", "pop_pct", "pop_users").join(fixed, "asn", "full")
+    df = one_per_asn(as_info).select("asn", "heg_v4", "heg_v6", "pop_pct", "pop_users").join(fixed, "asn", "full")
     more = lambda c, x: F.coalesce(F.col(c) > x, F.lit(False))
     return df.select(
         "asn",

@@ -1,6 +1,6 @@
 """State transitions, incidents, and the day archives."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.classes import display_name
@@ -165,16 +165,9 @@ def org_metadata(as_info: DataFrame) -> DataFrame:
         "slug", slugify(F.col("name")))
 
 
-def day_transitions(trans: DataFrame, latest=20) -> DataFrame:
-    """Per day: transitions, distinct organisations, and the newest transitions."""
+def day_transitions(trans: DataFrame) -> DataFrame:
+    """Per day: transitions, distinct organisations, and the newest transition; the others are rows of ``trans``."""
     day = (F.floor(F.col("ts") / K.DAY) * K.DAY).alias("day")
-    counts = trans.groupBy(day).agg(F.count("*").alias("total_transitions"), F.count_distinct(F.when(
-        F.col("organization") != "", F.col("organization"))).alias("unique_orgs"))
-    rows = trans.select(day, "ts", "update_id", "prefix", "asn", "as_name", "organization", "old_state", "new_state", "incident_id")
-    rows = rows.withColumn("_s", F.pmod(F.xxhash64("prefix"), F.lit(64)))
-    for parts in (["day", "_s"], ["day"]):  # newest per salt, then of all
-        w = Window.partitionBy(*parts).orderBy(F.desc("ts"), F.desc("update_id"))
-        rows = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= latest).drop("_r")
-    nested = rows.groupBy("day").agg(F.reverse(F.sort_array(F.collect_list(F.struct(
-        "ts", "update_id", "prefix", "asn", "as_name", "organization", "old_state", "new_state", "incident_id")))).alias("latest_events"))
-    return counts.join(nested, "day")
+    return trans.groupBy(day).agg(
+        F.count("*").alias("total_transitions"), F.count_distinct(F.when(F.col("organization") != "", F.col("organization"))).alias("unique_orgs"),
+        F.max(F.struct("ts", "update_id", "prefix", "asn", "as_name", "organization", "old_state", "new_state", "incident_id")).alias("newest"))

@@ -36,16 +36,13 @@ class PrefixProcessor(StatefulProcessor):
     runs when a later update arrives, or by event-time timer when none does.
     """
 
-    def __init__(self, max_sessions=None):
-        self.max_sessions = max_sessions
-
     def init(self, handle):
         self.handle = handle
         self.state = handle.getValueState("tracker", STATE)
 
     def _load(self):
         kept = json.loads(self.state.get()[0]) if self.state.exists() else None
-        return Tracker(kept, self.max_sessions)
+        return Tracker(kept)
 
     def _emit(self, key, tracker, events):
         self.state.update((json.dumps(tracker.dump()),))
@@ -72,14 +69,13 @@ class PrefixProcessor(StatefulProcessor):
         pass
 
 
-def classify_stream(enriched: DataFrame, max_sessions=None, watermark=WATERMARK) -> DataFrame:
+def classify_stream(enriched: DataFrame, watermark=WATERMARK) -> DataFrame:
     """Events of a stream of enriched updates (``enrich``); late rows beyond the watermark drop.
 
-    ``max_sessions`` bounds the sessions kept per prefix (the collector uses 100); without it the
-    result equals the batch plan.
+    The result equals the batch plan.
     """
     packed = enriched.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", watermark).select(
         "prefix", "ts", "update_id", "event_time",
         F.to_json(F.struct(*[c for c in enriched.columns if c != "event_time"]), {"ignoreNullFields": "false"}).alias("row"))
     return packed.groupBy("prefix").transformWithStateInPandas(
-        PrefixProcessor(max_sessions), EVENT_DDL, "Append", "EventTime")
+        PrefixProcessor(), EVENT_DDL, "Append", "EventTime")

@@ -102,11 +102,11 @@ def start_tables(events: DataFrame, root: str, checkpoint: str, **trigger):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def start_alerts(critical: DataFrame, root: str, checkpoint: str, retain=6 * 3600, **trigger):
+def start_alerts(critical: DataFrame, root: str, checkpoint: str, **trigger):
     """Evaluate the closed minute ticks after every micro-batch and keep the alert table.
 
-    Scores and cooldowns look back, so the critical events of the last hours are kept as a table
-    and the batch plan runs over them; ticks written before are not written again.
+    Scores and cooldowns look back without a bound, so all critical events are kept as a table and
+    the batch plan runs over them: the alerts are those of the batch plan.
     """
     def write(batch, batch_id):
         spark = batch.sparkSession
@@ -115,7 +115,7 @@ def start_alerts(critical: DataFrame, root: str, checkpoint: str, retain=6 * 360
         now = kept.agg(F.max("ts")).first()[0]
         if now is None:
             return
-        found = alerts(kept.filter(F.col("ts") >= now - retain)).filter(F.col("timestamp") <= now)
+        found = alerts(kept).filter(F.col("timestamp") <= now)
         sinks.upsert_alerts(found, f"{root}/alerts")
 
     return critical.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -76,14 +76,14 @@ def test_outage_check_and_recovery(spark):
         "source = 'timer'").count()
 
 
-def test_session_cap_evicts_longest_withdrawn():
-    t = Tracker(max_sessions=2)
+def test_sessions_are_all_kept():
+    t = Tracker()
     row = dict(prefix="5.5.5.0/24", origin_asn=1, path_str="1", path_len=1, base_origin=0, remember=False, rpki_status=3,
                is_bogon=False, leak=None, blackhole=False, source="t", lat=0, lon=0, city=None, country=None,
                o_org=None, o_brand=0, o_kin=None, b_org=None, b_brand=0, b_kin=None)
     for i, (ts, w) in enumerate([(1, False), (2, True), (3, False)]):
         t.update({**row, "ts": ts, "update_id": i, "host": f"h{i}", "peer": "p", "is_withdrawal": w})
-    assert sorted(t.sessions) == ["h0:p", "h2:p"]
+    assert sorted(t.sessions) == ["h0:p", "h1:p", "h2:p"]
 
 
 @pytest.fixture(scope="module")

@@ -147,6 +147,29 @@ def ewma(counts, last):
     return mean, var
 
 
+def test_ewma_keeps_its_digits(spark):
+    """Steady and very high counts over several blocks: variance to a relative 1e-6 of the rule's."""
+    rnd = random.Random(6)
+    for low, high in ((1, 1), (1000, 1000), (10 ** 5, 10 ** 5), (1, 10 ** 7)):
+        counts = {m: rnd.randint(low, high) for m in range(0, 2200) if m % 3 != 1}
+        # a count of n stands for n events, so the counting itself is left out
+        states = anomaly.states_of(spark.createDataFrame([("1.0.0.0/8", m, n) for m, n in counts.items()], "prefix string, m long, n long"))
+        got = {r.minute_ts // 60: r for r in states.collect()}
+        mean = var = 0.0
+        for m in range(0, max(counts) + 1):
+            if m in counts:
+                assert abs(got[m]["mean"] - mean) <= 1e-9 * (1 + mean) and abs(got[m]["var"] - var) <= 1e-6 * var + 1e-30
+            d = counts.get(m, 0) - mean
+            mean, var = mean + 0.05 * d, 0.95 * (var + d * 0.05 * d)
+
+
+def test_one_row_per_asn(spark):
+    info = spark.createDataFrame([(5, "B", "org", "x", 0.1), (5, "A", None, "x", 0.2), (6, "C", "", "y", 0.0)], "asn long, name string, org_name string, country string, heg_v4 double")
+    assert {r.asn: r.name for r in networks.one_per_asn(info).collect()} == {5: "A", 6: "C"}
+    events = spark.createDataFrame([(5,), (5,), (6,), (7,)], "asn long")
+    assert networks.with_as_names(events, info).count() == 4
+
+
 def test_ewma_blocks_and_restart(spark):
     """Spans more than one block of minutes, and a pause that starts the prefix anew."""
     rnd = random.Random(5)
