@@ -68,7 +68,7 @@ def test_warc_contract(spark):
 
 def test_pipeline_by_stages(spark, tmp_path):
     """Each stage on what the one before kept, against plain versions where there are such."""
-    from test_operators import plain_matches
+    from test_llm_operators import plain_matches
 
     docs = table(spark, SF, "documents")
     columns = docs.columns
