@@ -1,6 +1,6 @@
 """The registered queries: one per operator, with the SQL that states its result."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from . import constants as K
 from .fixtures import dims, load
@@ -45,15 +45,19 @@ def last_ts(spark, d, name="classified"):
 SELECT ts, prefix, peer AS host, peer, is_withdrawal, origin_asn, path_str, CAST(path_len AS INT) AS path_len,
   CASE WHEN is_withdrawal THEN '' ELSE comm_str END AS comm_str, 'ris' AS source FROM updates"""))
 def s1(spark, d):
-    u = load(spark, d, "updates")
+    return feeds.ris_rows(as_messages(load(spark, d, "updates"), F.col("ts").cast("double"))).drop("update_id", "event_time")
+
+
+def as_messages(u, at):
+    """Updates as feed messages with the time ``at``."""
     up = ~F.col("is_withdrawal")
     msg = F.to_json(F.struct(F.lit("ris_message").alias("type"), F.struct(
-        F.col("ts").cast("double").alias("timestamp"), "peer", F.col("update_id").cast("string").alias("id"),
+        at.alias("timestamp"), "peer", F.col("update_id").cast("string").alias("id"),
         F.lit("UPDATE").alias("type"), F.when(up, F.split("path_str", " ").cast("array<bigint>")).alias("path"),
         F.when(up, F.transform(F.split("comm_str", " "), lambda c: F.split(c, ":").cast("array<bigint>"))).alias("community"),
         F.when(up, F.array(F.struct(F.lit("192.0.2.1").alias("next_hop"), F.array("prefix").alias("prefixes")))).alias("announcements"),
         F.when(~up, F.array("prefix")).alias("withdrawals")).alias("data")))
-    return feeds.ris_rows(u.select(msg.alias("value"))).drop("update_id")
+    return u.select(msg.alias("value"))
 
 
 @query("s2_union_feeds", sql(["updates"], """
@@ -275,10 +279,24 @@ HIST_SQL = ", ".join([
     f"base AS (SELECT prefix, origin_asn FROM (SELECT p.prefix, q.origin_asn, row_number() OVER (PARTITION BY p.prefix ORDER BY q.len DESC) AS rn FROM pf p JOIN sp q ON {at('q', 'p')}) WHERE rn = 1)"])
 
 
-@query("j7_historical_origin", sql(["updates", "seen"], """
-SELECT u.update_id, coalesce(b.origin_asn, first_value(CASE WHEN NOT is_withdrawal AND u.origin_asn <> 0 THEN u.origin_asn END IGNORE NULLS)
-  OVER (PARTITION BY u.prefix ORDER BY ts, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS historical_asn
-FROM updates u LEFT JOIN base b ON b.prefix = u.prefix""", HIST_SQL))
+# Origins remembered in time order, one announced prefix after the other; then per prefix the longest
+# match at its first update for which there is one.
+REMEMBER_SQL = ", ".join([
+    HIST_SQL, "ou AS (SELECT update_id, prefix, is_withdrawal, origin_asn, ts::HUGEINT * 10000000000 + update_id AS o FROM updates)",
+    """fa AS (SELECT c.*, fam, a, len, row_number() OVER (ORDER BY o) AS k FROM (SELECT prefix, min(o) AS o, arg_min(origin_asn, o) AS asn FROM ou
+  WHERE NOT is_withdrawal AND origin_asn <> 0 GROUP BY prefix) c JOIN pf USING (prefix) WHERE prefix NOT IN (SELECT prefix FROM base))""",
+    """rm AS (SELECT 0::BIGINT AS k, []::STRUCT(fam INT, len INT, a BIGINT, o HUGEINT, asn BIGINT)[] AS kept
+  UNION ALL SELECT c.k, CASE WHEN len(list_filter(kept, lambda x: x.fam = c.fam AND (x.a >> (32 - least(x.len, 32))) = (c.a >> (32 - least(x.len, 32))))) = 0
+   THEN list_append(kept, {'fam': c.fam::INT, 'len': c.len::INT, 'a': c.a::BIGINT, 'o': c.o, 'asn': c.asn}) ELSE kept END FROM rm JOIN fa c ON c.k = rm.k + 1)""",
+    "rd AS (SELECT x.* FROM (SELECT unnest(kept) AS x FROM rm WHERE k = (SELECT max(k) FROM rm)))",
+    f"cv AS (SELECT p.prefix, q.o, q.asn, q.len AS qlen FROM pf p JOIN rd q ON {at('q', 'p')} WHERE p.prefix NOT IN (SELECT prefix FROM base))",
+    """fu AS (SELECT u.prefix, min(u.o) AS u0 FROM ou u JOIN (SELECT prefix, min(o) AS m FROM cv GROUP BY prefix) c ON c.prefix = u.prefix AND u.o > c.m GROUP BY u.prefix)""",
+    "kn AS (SELECT prefix, u0, arg_max(asn, qlen) AS asn FROM fu JOIN cv USING (prefix) WHERE o < u0 GROUP BY prefix, u0)",
+    """hi AS (SELECT u.update_id, coalesce(b.origin_asn, CASE WHEN u.o >= kn.u0 THEN kn.asn END, 0) AS hist FROM ou u
+  LEFT JOIN base b ON b.prefix = u.prefix LEFT JOIN kn ON kn.prefix = u.prefix)"""])
+
+
+@query("j7_historical_origin", sql(["updates", "seen"], "SELECT update_id, hist AS historical_asn FROM hi", REMEMBER_SQL, recursive=True))
 def j7(spark, d):
     return CL.with_historical(load(spark, d, "updates"), load(spark, d, "seen")).select("update_id", "historical_asn")
 
@@ -397,8 +415,8 @@ def a3_at(spark, d):
 
 
 @query("f21_resolved_asn", sql(["updates", "seen"], """
-SELECT u.update_id, CASE WHEN u.origin_asn <> 0 THEN u.origin_asn ELSE coalesce(last_value(nullif(u.origin_asn, 0) IGNORE NULLS) OVER w, b.origin_asn, 0) END AS asn
-FROM updates u LEFT JOIN base b ON b.prefix = u.prefix WINDOW w AS (PARTITION BY u.prefix ORDER BY ts, update_id)""", HIST_SQL))
+SELECT u.update_id, CASE WHEN u.origin_asn <> 0 THEN u.origin_asn ELSE coalesce(last_value(nullif(u.origin_asn, 0) IGNORE NULLS) OVER w, hist) END AS asn
+FROM updates u JOIN hi USING (update_id) WINDOW w AS (PARTITION BY u.prefix ORDER BY ts, u.update_id)""", REMEMBER_SQL, recursive=True))
 def f21(spark, d):
     u = CL.with_historical(load(spark, d, "updates"), load(spark, d, "seen"))
     c = sessions.prefix_counts(sessions.session_changes(cut(u)))
@@ -450,16 +468,24 @@ def a13(spark, d):
     return rates.event_composition(e).withColumn("percentage", r6("percentage"))
 
 
-@query("a15_tiles", sql(["classified"], """SELECT ts * 1000 AS window_ms, CAST(trunc(lat::FLOAT * 10::FLOAT) AS INT) / 10.0 AS lat, CAST(trunc(lon::FLOAT * 10::FLOAT) AS INT) / 10.0 AS lon,
+# A millisecond inside the second for every row, so that a second holds several windows.
+MILLIS = "ts * 1000 + update_id * 37 % 1000"
+
+
+def timed(spark, d):
+    return load(spark, d, "classified").withColumn("event_time", F.timestamp_millis(F.expr(MILLIS)))
+
+
+@query("a15_tiles", sql(["classified"], f"""SELECT ({MILLIS}) // 500 * 500 AS window_ms, CAST(trunc(lat::FLOAT * 10::FLOAT) AS INT) / 10.0 AS lat, CAST(trunc(lon::FLOAT * 10::FLOAT) AS INT) / 10.0 AS lon,
   classification, count(*) AS n_events FROM classified GROUP BY ALL"""))
 def a15(spark, d):
-    return tiles.tiles(load(spark, d, "classified"))
+    return tiles.tiles(timed(spark, d))
 
 
-@query("a16_fine_tiles", sql(["classified"], """SELECT ts * 1000 AS window_ms, round(lat * 100) / 100 AS lat, round(lon * 100) / 100 AS lon,
+@query("a16_fine_tiles", sql(["classified"], f"""SELECT ({MILLIS}) // 100 * 100 AS window_ms, round(lat * 100) / 100 AS lat, round(lon * 100) / 100 AS lon,
   classification, count(*) AS n_events FROM classified WHERE lat <> 0 OR lon <> 0 GROUP BY ALL"""))
 def a16(spark, d):
-    return tiles.fine_tiles(load(spark, d, "classified"))
+    return tiles.fine_tiles(timed(spark, d))
 
 
 NEWTON = """n%d AS (SELECT lat, lon, n, phi, lam, CASE WHEN done OR abs(2 + 2 * cos(2 * t)) < 1e-9 THEN t ELSE t - dl END AS t,
@@ -901,11 +927,9 @@ BAD = "IN (2, 3, 4, 10)"
 # cycle one row at a time per prefix. Outage checks are rows of their own, before updates of the
 # same second.
 JUDGED_SQL = ", ".join([
-    COUNT_SQL, HIST_SQL, FLAG_SQL, PATHS_SQL, f"lk AS ({LEAK_SQL})", parsed("bp", "bogons"),
+    COUNT_SQL, REMEMBER_SQL, FLAG_SQL, PATHS_SQL, f"lk AS ({LEAK_SQL})", parsed("bp", "bogons"),
     "xs AS (SELECT DISTINCT prefix, origin_asn AS asn FROM updates WHERE origin_asn <> 0)", parsed("xp", "xs", "prefix, asn"), ROA_SQL, RPKI_SQL,
     "n2 AS (SELECT asn, org_name, CASE WHEN org_name <> '' THEN org_name WHEN name <> '' THEN name ELSE org_name END AS nm FROM as_info)",
-    """hi AS (SELECT u.update_id, coalesce(b.origin_asn, first_value(CASE WHEN NOT is_withdrawal AND u.origin_asn <> 0 THEN u.origin_asn END IGNORE NULLS)
-  OVER (PARTITION BY u.prefix ORDER BY ts, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hist FROM updates u LEFT JOIN base b ON b.prefix = u.prefix)""",
     """tot AS (SELECT u.update_id, sum(o.ann)::BIGINT AS ann10, sum(o.wd)::BIGINT AS wd10, sum(o.path_change) AS pc10, sum(o.len_inc) AS li10, sum(o.flap)::BIGINT AS fl10, min(o.ts - o.ts % 60) AS earliest
   FROM seq u JOIN seq o ON o.prefix = u.prefix AND o.rn <= u.rn AND o.ts - o.ts % 60 >= u.ts - 600 GROUP BY u.update_id)""",
     "sp2 AS (SELECT s.*, q.origin_asn AS o FROM span s JOIN seq q ON q.prefix = s.prefix AND q.rn = s.rn)",
@@ -967,11 +991,27 @@ EVENT_TABLES = ["updates", "seen", "roas", "bogons", "as_info", "as_siblings"]
 
 @query("classify_updates", sql(EVENT_TABLES, "SELECT * FROM events_", JUDGED_SQL, recursive=True))
 def classify_updates(spark, d):
-    e = CL.classify(load(spark, d, "updates"), dims(spark, d))
+    return flat(CL.classify(load(spark, d, "updates"), dims(spark, d)))
+
+
+def flat(e):
+    """Events with their nested details as columns."""
     return e.withColumns({c: F.col(f"leak_detail.{c}") for c in ("leak_type", "leaker_asn", "victim_asn")}).withColumns(
         {c: F.col(f"anomaly_details.{c}") for c in CL.DETAILS}).drop("leak_detail", "anomaly_details")
 
 
+@query("s1_classified_feed", sql(EVENT_TABLES, "SELECT * EXCLUDE (update_id, lat, lon, city, country) FROM events_", JUDGED_SQL, recursive=True))
+def s1_classified_feed(spark, d):
+    """Messages with several updates a second, parsed and classified: the classes of the table's rows."""
+    u = load(spark, d, "updates")
+    within = F.percent_rank().over(Window.partitionBy("ts").orderBy("update_id"))
+    lines = as_messages(u.withColumn("_in", within * 0.99), F.col("ts") + F.col("_in"))
+    routeviews = F.col("peer").startswith("198.18.0.")
+    rows = feeds.union_feeds(feeds.ris_rows(lines).withColumn("source", F.when(routeviews, "routeviews").otherwise("ris")))
+    rows = cut(rows.withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0), "city": F.lit(None).cast("string"), "country": F.lit(None).cast("string")}))
+    return flat(CL.classify(rows, dims(spark, d))).drop("update_id", "event_time", "lat", "lon", "city", "country")
+
+
 # The classified events under the names the other checks read.
 E2E_SQL = JUDGED_SQL + ", classified AS (SELECT * FROM events_)"
 

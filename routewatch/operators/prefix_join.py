@@ -58,14 +58,17 @@ def lpm_join(left: DataFrame, addr_col: str, table: DataFrame, value_cols,
 
 
 def covering_pairs(left: DataFrame, table: DataFrame, value_cols=(), col="prefix",
-                   table_col="prefix") -> DataFrame:
-    """Distinct left prefixes with every table prefix that covers them (equal or shorter)."""
+                   table_col="prefix", within=True) -> DataFrame:
+    """Distinct left prefixes with every table prefix that covers them (equal or shorter).
+
+    Without ``within`` it is enough that the network address is covered, as in ``lpm_join``.
+    """
     values = list(value_cols)
     t = prefix_table(table, values, table_col).select(
         "family", "len", "net_key", F.col(table_col).alias("cover"), *values)
     p = prefix_table(left, [], col).select(
         F.col(col).alias("_lp"), "family", F.col("len").alias("plen"), "bits")
-    return _probe_keys(p, t, within=True).join(t, ["family", "len", "net_key"]).select(
+    return _probe_keys(p, t, within).join(t, ["family", "len", "net_key"]).select(
         F.col("_lp").alias(col), F.col("plen").alias("len"), F.col("len").alias("cover_len"),
         "cover", *values)
 

@@ -15,7 +15,7 @@ from ..functions.paths import is_blackhole
 from ..operators.bogons import bogon_flag
 from ..operators.leaks import leak_patterns
 from ..operators.networks import as_flags, siblings
-from ..operators.prefix_join import lpm_join
+from ..operators.prefix_join import covering_pairs, lpm_join
 from ..operators.rpki import rpki_status
 from ..operators.scan import CHUNK, SLICE, Running, find_hot, place, running, split_hot
 from ..operators.sessions import prefix_counts, session_changes
@@ -27,22 +27,76 @@ UPDATE_COLS = ["update_id", "ts", "prefix", "host", "peer", "is_withdrawal", "or
 DETAILS = ["num_collectors", "num_peers", "num_withdrawals", "num_announcements", "flap_count"]
 
 
-def historical_origin(updates: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """Per prefix: base origin by longest match, and the first origin announced with its place.
-
-    Without a seen table nothing is remembered, so there is no historical origin at all.
-    """
+def _announced(updates: DataFrame, seen: DataFrame) -> DataFrame:
+    """Per prefix: base origin by longest match (0: none), place and origin of its first announcement."""
     first = F.when(~F.col("is_withdrawal") & (F.col("origin_asn") != 0), F.struct("ts", "update_id"))
     facts = updates.groupBy("prefix").agg(
         F.min(first).alias("first_at"), F.min_by("origin_asn", first).alias("first_origin"))
-    if seen is None:
-        return facts.select("prefix", F.lit(0).cast("long").alias("base_origin"),
-                            F.lit(0).cast("long").alias("first_origin"), "first_at")
     base = seen.select("prefix", F.col("origin_asn").alias("base_origin")).withColumnRenamed("prefix", "_sp")
     facts = lpm_join(facts, "prefix", base, ["base_origin"], prefix_col="_sp").drop("match_len")
     return facts.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("base_origin", "first_origin")})
 
 
+def _remembered(unknown: DataFrame) -> DataFrame:
+    """The prefixes whose first announcement is remembered: no remembered one answered for them before.
+
+    ``unknown`` are announced prefixes without a base origin. A prefix waits for those that cover its
+    address and were announced before; prefixes that wait for none are remembered and rule out the
+    ones that wait for them. Every round settles the front of all chains, which are no longer than
+    prefixes nest.
+    """
+    nodes = unknown.select("prefix")
+    first = unknown.select("prefix", F.col("first_at").alias("_own_at"))
+    edges = covering_pairs(unknown, unknown.select("prefix", "first_at"), ["first_at"], within=False).join(first, "prefix")
+    edges = cut(edges.filter(F.col("first_at") < F.col("_own_at")).select("prefix", "cover"))
+    kept = None
+    while not edges.isEmpty():
+        free = cut(nodes.join(edges, "prefix", "left_anti"))
+        out = edges.join(free.select(F.col("prefix").alias("cover")), "cover", "left_semi").select("prefix").distinct()
+        settled = cut(free.unionByName(out))
+        kept = free if kept is None else kept.unionByName(free)
+        nodes = nodes.join(settled, "prefix", "left_anti")
+        edges = cut(edges.join(settled, "prefix", "left_anti").join(
+            settled.select(F.col("prefix").alias("cover")), "cover", "left_anti"))
+    return nodes if kept is None else kept.unionByName(nodes)
+
+
+def remembered_origins(updates: DataFrame, seen: DataFrame) -> DataFrame:
+    """(prefix, origin_asn) that these updates add to the table of known origins."""
+    unknown = cut(_announced(updates, seen).filter("base_origin = 0 and first_origin <> 0"))
+    return unknown.join(_remembered(unknown), "prefix", "left_semi").select(
+        "prefix", F.col("first_origin").alias("origin_asn"))
+
+
+def historical_origin(updates: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Per prefix: base origin by longest match, else the remembered origin and after which update it holds.
+
+    The first origin announced for a prefix nobody knows is remembered like a base entry, so it also
+    answers for prefixes below it. A prefix keeps the first origin found for it: the longest match at
+    its first update for which there is one. Without a seen table nothing is remembered.
+    """
+    zero = F.lit(0).cast("long")
+    if seen is None:
+        return updates.groupBy("prefix").agg(F.min(F.struct("ts", "update_id")).alias("first_at")).select(
+            "prefix", zero.alias("base_origin"), zero.alias("first_origin"), "first_at")
+    facts = cut(_announced(updates, seen))
+    open_ = facts.filter("base_origin = 0")
+    unknown = open_.filter("first_origin <> 0")
+    entries = unknown.join(_remembered(unknown), "prefix", "left_semi").select(
+        "prefix", F.col("first_at").alias("at"), F.col("first_origin").alias("asn"))
+    found = cut(covering_pairs(open_, entries, ["at", "asn"], within=False))
+    known = found.groupBy("prefix").agg(F.min("at").alias("known_at"), F.count("*").alias("n"))
+    # Only where several entries answer does it matter which were there at the first update after.
+    several = cut(known.filter("n > 1").select("prefix", "known_at"))
+    start = updates.join(small(several), "prefix").filter(F.struct("ts", "update_id") > F.col("known_at")).groupBy(
+        "prefix").agg(F.min(F.struct("ts", "update_id")).alias("start"))
+    found = found.join(start, "prefix", "left").filter("start is null or at < start")
+    answer = found.groupBy("prefix").agg(
+        F.min("at").alias("first_at"), F.max_by("asn", "cover_len").alias("first_origin"))
+    return facts.select("prefix", "base_origin").join(answer, "prefix", "left").withColumn(
+        "first_origin", F.coalesce("first_origin", zero))
+
+
 def _as_of_update(updates: DataFrame, facts: DataFrame) -> DataFrame:
     df = updates.join(facts, "prefix", "left")
     own = F.when(F.col("first_at") < F.struct("ts", "update_id"), F.col("first_origin"))
@@ -51,7 +105,7 @@ def _as_of_update(updates: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def with_historical(updates: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """Add historical_asn as of each update: the base entry, else the first origin seen earlier."""
+    """Add historical_asn as of each update: the base entry, else the origin remembered earlier."""
     return _as_of_update(updates, historical_origin(updates, seen))
 
 
@@ -83,7 +137,7 @@ def foreign_hosts(changes: DataFrame, pairs: DataFrame, hot=None) -> DataFrame:
     flip = (F.col("n") > 0).cast("long") - (F.col("n") - F.col("d") > 0).cast("long")
     rows = running(rows.withColumn("f", flip), ["prefix", "origin_asn"], order,
                    {"foreign_hosts": Running("sum", F.col("f"))}, hot)
-    return rows.filter("o = 1").select("prefix", "update_id", "foreign_hosts")
+    return rows.filter("o = 1").select("prefix", "ts", "host", "update_id", "foreign_hosts")
 
 
 def _counted(rows: DataFrame, pairs: DataFrame, hot=None) -> DataFrame:
@@ -92,7 +146,7 @@ def _counted(rows: DataFrame, pairs: DataFrame, hot=None) -> DataFrame:
     if hot is not None:
         changes = cut(changes)
     return prefix_counts(changes, hot).join(
-        foreign_hosts(changes, pairs, hot), ["prefix", "update_id"], "left")
+        foreign_hosts(changes, pairs, hot), ["prefix", "ts", "host", "update_id"], "left")
 
 
 def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
@@ -104,7 +158,8 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     hot = find_hot(updates, target_rows=target_rows)
     if hot is not None:
         hot = cut(hot)
-    updates = updates.select(*UPDATE_COLS)
+    timed = [c for c in ("event_time",) if c in updates.columns]
+    updates = updates.select(*UPDATE_COLS, *timed)
     # Prefix-, pair- and path-sized tables are reduced from the updates once and written out, so
     # that they are computed once and the long plan below starts from plain tables.
     facts = cut(bogon_flag(cut(historical_origin(updates, dims.get("seen"))), dims.get("bogons")))
@@ -163,7 +218,7 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     })
     cols = ["prefix", SLICE, CHUNK, "ts", "update_id", "is_withdrawal", "cand", "cand_leak", "needs_check",
             "fw_ts", "asn", "last_asn", "historical_asn", "flap_cycle", "n_withdrawn", "wd_10m",
-            "wd_10m_next", *DETAILS, "host", "peer", "source", "origin_asn", "lat", "lon", "city", "country"]
+            "wd_10m_next", *DETAILS, "host", "peer", "source", "origin_asn", "lat", "lon", "city", "country", *timed]
     return df.select(*(cols if hot is not None else [c for c in cols if c != SLICE]))
 
 
@@ -352,6 +407,8 @@ def _slice_carries(rows: DataFrame) -> DataFrame:
 def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
     """Events: one row per judged update, and one per outage the ten-second check finds.
 
+    Updates with an ``event_time`` (microseconds) give events with one.
+
     ``now`` ends the replay: checks due after it are left out (None: all are run).
     """
     # Only small columns cross into Python as values; the rest passes through as Arrow.
@@ -376,6 +433,8 @@ def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
     quiet = F.col("kind") == QUIET
     details = F.col("kind").isin(ENTERED, CHECK)
     routeviews = quiet & (F.col("source") == "routeviews")
+    # an outage found by the check has the whole second of the check
+    timed = [F.coalesce("event_time", F.timestamp_seconds("ts")).alias("event_time")] if "event_time" in out.columns else []
     return out.select(
         "update_id", "ts", "prefix",
         F.when(quiet, F.col("origin_asn")).otherwise(F.col("asn")).alias("asn"),
@@ -387,7 +446,7 @@ def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
         "source", "lat", "lon", "city", "country",
         F.when(F.col("kind") == CHECK, 0).otherwise(F.col("flap_cycle")).cast("long").alias("num_flaps"),
         (~quiet).alias("is_classified"), "is_withdrawal", "state_class",
-        F.col("asn").alias("state_asn"))
+        F.col("asn").alias("state_asn"), *timed)
 
 
 def classify(updates: DataFrame, dims: dict, now=None, target_rows=2_000_000) -> DataFrame:

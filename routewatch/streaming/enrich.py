@@ -6,8 +6,8 @@ from ..functions.paths import is_blackhole
 from ..operators.bogons import bogon_flag
 from ..operators.leaks import leak_patterns
 from ..operators.networks import as_names
-from ..operators.prefix_join import lpm_join
 from ..operators.rpki import rpki_status
+from ..plans.classify import with_historical
 from .. import constants as K
 
 NO_FACTS = "asn long, as_org string, brand int, kin array<long>"
@@ -28,23 +28,18 @@ def sibling_facts(dims: dict, spark) -> DataFrame:
 
 
 def enrich(updates: DataFrame, dims: dict, edges: DataFrame, flags: DataFrame) -> DataFrame:
-    """One micro-batch of updates with bogon, base origin, RPKI, sibling and leak facts.
+    """One micro-batch of updates with bogon, known origin, RPKI, sibling and leak facts.
 
     Run it in ``foreachBatch`` and write the rows to the table the classifier stream reads;
-    ``edges`` is the provider table kept up to date the same way.
+    ``edges`` is the provider table kept up to date the same way, and what ``remembered_origins``
+    finds in a batch belongs into ``seen`` for the batches after it.
     """
     spark = updates.sparkSession
     df = bogon_flag(updates, dims.get("bogons"))
-    if dims.get("seen") is not None:
-        seen = dims["seen"].select(F.col("prefix").alias("_sp"), F.col("origin_asn").alias("base_origin"))
-        df = lpm_join(df, "prefix", seen, ["base_origin"], prefix_col="_sp").drop("match_len")
-        df = df.withColumns({"base_origin": F.coalesce("base_origin", F.lit(0).cast("long")),
-                             "remember": F.lit(True)})
-    else:
-        df = df.withColumns({"base_origin": F.lit(0).cast("long"), "remember": F.lit(False)})
+    df = with_historical(df, dims.get("seen")).withColumn("remember", F.lit(dims.get("seen") is not None))
     df = rpki_status(df, dims.get("roas"), "origin_asn")
     facts = sibling_facts(dims, spark)
-    for asn, p in (("origin_asn", "o"), ("base_origin", "b")):
+    for asn, p in (("origin_asn", "o"), ("historical_asn", "h")):
         df = df.join(facts.select(F.col("asn").alias(asn), F.col("as_org").alias(f"{p}_org"),
                                   F.col("brand").alias(f"{p}_brand"), F.col("kin").alias(f"{p}_kin")),
                      asn, "left")

@@ -3,12 +3,13 @@
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from replay import COLS, batch_rows, replay
 
 from routewatch import fixtures as X
 from routewatch.operators.leaks import provider_edges
 from routewatch.operators.networks import as_flags
-from routewatch.plans.classify import classify
+from routewatch.plans.classify import classify, remembered_origins, with_historical
 from routewatch.session import cut
 from routewatch.streaming.classifier import classify_stream
 from routewatch.streaming.enrich import enrich
@@ -44,6 +45,30 @@ def test_hijack_needs_five_hosts(spark):
     assert e[4].classification == 2 and e[4].incident_id and tuple(e[4].leak_detail) == (0, 200, 100)
 
 
+def test_hijack_below_a_remembered_prefix(spark):
+    """A first origin answers for the prefixes inside it, as a base entry would."""
+    outer = make(spark, "20.0.0.0/16", [(1000, "h0", "p0", False, 100)])
+    inner = make(spark, "20.0.1.0/24", [(1001 + i, f"h{i}", f"p{i}", False, 200) for i in range(6)])
+    rows = outer.unionByName(inner.withColumn("update_id", inner.update_id + 10))
+    e = {r.update_id: r for r in classify(rows, seen(spark, "99.0.0.0/8", 7)).collect() if r.update_id is not None}
+    assert e[0].classification == 9
+    assert [e[i].classification for i in range(10, 16)] == [0, 0, 0, 0, 2, 9]
+    assert (e[14].historical_asn, tuple(e[14].leak_detail)) == (100, (0, 200, 100))
+
+
+def test_remembering_is_in_time_order(spark):
+    """The inner prefix is announced first, so the outer one finds it at its own address."""
+    def row(i, prefix, asn):
+        return make(spark, prefix, [(1000 + i, "h", "p", False, asn)]).withColumn("update_id", F.lit(i).cast("long"))
+    u = row(0, "20.0.0.0/24", 1).unionByName(row(1, "20.0.0.0/16", 2)).unionByName(row(2, "20.0.9.0/24", 3)).unionByName(
+        row(3, "20.0.9.0/24", 4))
+    got = {r.update_id: r.historical_asn for r in with_historical(u, seen(spark, "99.0.0.0/8", 7)["seen"]).collect()}
+    # the outer one is known by the inner one and not remembered, so it answers for nobody
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
+    new = remembered_origins(u, seen(spark, "99.0.0.0/8", 7)["seen"]).collect()
+    assert sorted(map(tuple, new)) == [("20.0.0.0/24", 1), ("20.0.9.0/24", 3)]
+
+
 def test_flap_cycles(spark):
     e = events(spark, "2.2.2.0/24", [(*r, 100) for r in FLAP_ROWS], {})
     assert not e[3].is_classified
@@ -78,9 +103,9 @@ def test_outage_check_and_recovery(spark):
 
 def test_sessions_are_all_kept():
     t = Tracker()
-    row = dict(prefix="5.5.5.0/24", origin_asn=1, path_str="1", path_len=1, base_origin=0, remember=False, rpki_status=3,
+    row = dict(prefix="5.5.5.0/24", origin_asn=1, path_str="1", path_len=1, historical_asn=0, remember=False, rpki_status=3,
                is_bogon=False, leak=None, blackhole=False, source="t", lat=0, lon=0, city=None, country=None,
-               o_org=None, o_brand=0, o_kin=None, b_org=None, b_brand=0, b_kin=None)
+               o_org=None, o_brand=0, o_kin=None, h_org=None, h_brand=0, h_kin=None)
     for i, (ts, w) in enumerate([(1, False), (2, True), (3, False)]):
         t.update({**row, "ts": ts, "update_id": i, "host": f"h{i}", "peer": "p", "is_withdrawal": w})
     assert sorted(t.sessions) == ["h0:p", "h1:p", "h2:p"]
@@ -109,8 +134,6 @@ def test_sliced_prefixes_equal_replay(case):
 def test_stream_equals_replay(spark, case):
     _, _, rich, expected = case
     folder = tempfile.mkdtemp(prefix="routewatch-stream-")
-    from pyspark.sql import functions as F
-
     for part, low, high in ((0, 0, 1704069000), (1, 1704069000, 1704072500), (2, 1704072500, 1 << 40)):
         rich.filter((F.col("ts") >= low) & (F.col("ts") < high)).drop("event_time").coalesce(1).write.parquet(
             f"{folder}/in/p{part}")
