@@ -37,35 +37,37 @@ def _announced(updates: DataFrame, seen: DataFrame) -> DataFrame:
     return facts.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("base_origin", "first_origin")})
 
 
-def _remembered(unknown: DataFrame) -> DataFrame:
-    """The prefixes whose first announcement is remembered: no remembered one answered for them before.
+def _pairs(facts: DataFrame) -> DataFrame:
+    """(prefix, cover, cover_len, at, asn, own_at) among prefixes without a base origin: every cover
+    that was announced and whose range holds the prefix's address, itself included."""
+    unknown = facts.filter("base_origin = 0").select("prefix", F.col("first_at").alias("own_at"), F.col("first_origin").alias("asn"))
+    covers = unknown.filter("asn <> 0").withColumnRenamed("own_at", "at")
+    return cut(covering_pairs(unknown, covers, ["at", "asn"], within=False).join(unknown.drop("asn"), "prefix"))
 
-    ``unknown`` are announced prefixes without a base origin. A prefix waits for those that cover its
-    address and were announced before; prefixes that wait for none are remembered and rule out the
-    ones that wait for them. Every round settles the front of all chains, which are no longer than
-    prefixes nest.
+
+def _answering(pairs: DataFrame) -> DataFrame:
+    """The pairs whose cover is remembered: no remembered prefix answered for it before it was announced.
+
+    A cover waits for those that hold its address and were announced before; covers that wait for
+    none are remembered and rule out the ones that wait for them. Every round settles the front of
+    all chains, which are no longer than prefixes nest.
     """
-    nodes = unknown.select("prefix")
-    first = unknown.select("prefix", F.col("first_at").alias("_own_at"))
-    edges = covering_pairs(unknown, unknown.select("prefix", "first_at"), ["first_at"], within=False).join(first, "prefix")
-    edges = cut(edges.filter(F.col("first_at") < F.col("_own_at")).select("prefix", "cover"))
-    kept = None
+    edges = pairs.filter("own_at is not null and at < own_at").select("prefix", "cover")
+    edges = cut(edges)
+    gone = None
     while not edges.isEmpty():
-        free = cut(nodes.join(edges, "prefix", "left_anti"))
-        out = edges.join(free.select(F.col("prefix").alias("cover")), "cover", "left_semi").select("prefix").distinct()
-        settled = cut(free.unionByName(out))
-        kept = free if kept is None else kept.unionByName(free)
-        nodes = nodes.join(settled, "prefix", "left_anti")
-        edges = cut(edges.join(settled, "prefix", "left_anti").join(
-            settled.select(F.col("prefix").alias("cover")), "cover", "left_anti"))
-    return nodes if kept is None else kept.unionByName(nodes)
+        free = edges.select("cover").join(edges.select(F.col("prefix").alias("cover")), "cover", "left_anti").distinct()
+        out = cut(edges.join(free, "cover", "left_semi").select(F.col("prefix").alias("cover")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        ruled = out.withColumnRenamed("cover", "prefix")
+        edges = cut(edges.join(free, "cover", "left_anti").join(out, "cover", "left_anti").join(ruled, "prefix", "left_anti"))
+    return pairs if gone is None else pairs.join(gone, "cover", "left_anti")
 
 
 def remembered_origins(updates: DataFrame, seen: DataFrame) -> DataFrame:
     """(prefix, origin_asn) that these updates add to the table of known origins."""
-    unknown = cut(_announced(updates, seen).filter("base_origin = 0 and first_origin <> 0"))
-    return unknown.join(_remembered(unknown), "prefix", "left_semi").select(
-        "prefix", F.col("first_origin").alias("origin_asn"))
+    return _answering(_pairs(cut(_announced(updates, seen)))).filter("cover = prefix").select(
+        "prefix", F.col("asn").alias("origin_asn"))
 
 
 def historical_origin(updates: DataFrame, seen: DataFrame | None) -> DataFrame:
@@ -80,11 +82,7 @@ def historical_origin(updates: DataFrame, seen: DataFrame | None) -> DataFrame:
         return updates.groupBy("prefix").agg(F.min(F.struct("ts", "update_id")).alias("first_at")).select(
             "prefix", zero.alias("base_origin"), zero.alias("first_origin"), "first_at")
     facts = cut(_announced(updates, seen))
-    open_ = facts.filter("base_origin = 0")
-    unknown = open_.filter("first_origin <> 0")
-    entries = unknown.join(_remembered(unknown), "prefix", "left_semi").select(
-        "prefix", F.col("first_at").alias("at"), F.col("first_origin").alias("asn"))
-    found = cut(covering_pairs(open_, entries, ["at", "asn"], within=False))
+    found = _answering(_pairs(facts))
     known = found.groupBy("prefix").agg(F.min("at").alias("known_at"), F.count("*").alias("n"))
     # Only where several entries answer does it matter which were there at the first update after.
     several = cut(known.filter("n > 1").select("prefix", "known_at"))
