@@ -977,12 +977,12 @@ JUDGED_SQL = ", ".join([
      FROM (SELECT r.*, l.cls AS old, l.ic, l.it, l.lt, l.ll, l.lv, CASE WHEN r.msg = 1 AND r.w AND l.cls = 4 THEN r.ts ELSE l.since END AS since1 FROM life l JOIN rows_ r ON r.prefix = l.prefix AND r.k = l.k + 1)))))""",
     """ev AS (SELECT r.update_id, r.ts, r.prefix, CASE WHEN kind = 0 THEN j.origin_asn ELSE j.asn END AS asn, CASE WHEN kind = 0 AND j.source = 'routeviews' THEN 'routeviews' ELSE j.peer END AS peer_ip,
    CASE WHEN kind = 0 THEN 0 ELSE r.hist END AS historical_asn, shown AS classification, old AS old_classification, sic, sit, start AS incident_start_time, slt AS leak_type, sll AS leaker_asn, slv AS victim_asn,
-   j.source, j.lat, j.lon, j.city, j.country, j.cycle AS num_flaps, kind <> 0 AS is_classified, j.is_withdrawal, cls AS state_class, j.asn AS state_asn,
+   j.source, j.lat, j.lon, j.city, j.country, j.cycle AS num_flaps, kind <> 0 AS is_classified, j.is_withdrawal, cls AS state_class, j.asn AS state_asn, r.ts AS state_ts,
    CASE WHEN kind = 1 AND shown = 4 THEN n_hosts WHEN kind = 1 AND shown = 6 THEN n_all_hosts END AS num_collectors, CASE WHEN kind = 1 AND shown = 4 THEN n_known - n_active WHEN kind = 1 AND shown = 6 THEN n_known END AS num_peers,
    CASE WHEN kind = 1 AND shown IN (4, 6) THEN wd10 END AS num_withdrawals, CASE WHEN kind = 1 AND shown = 4 THEN 0 WHEN kind = 1 AND shown = 6 THEN ann10 END AS num_announcements,
    CASE WHEN kind = 1 AND shown = 4 THEN 0 WHEN kind = 1 AND shown = 6 THEN fl10 END AS flap_count
   FROM life l JOIN rows_ r ON r.prefix = l.prefix AND r.k = l.k AND r.msg = 1 JOIN ju j ON j.update_id = r.update_id
- UNION ALL SELECT NULL, r.ts, r.prefix, r.last_asn, 'synthetic', r.hist, 4, 0, sic, sit, start, NULL, NULL, NULL, 'timer', j.lat, j.lon, j.city, j.country, 0, TRUE, FALSE, 4, r.last_asn,
+ UNION ALL SELECT NULL, r.ts, r.prefix, r.last_asn, 'synthetic', r.hist, 4, 0, sic, sit, start, NULL, NULL, NULL, 'timer', j.lat, j.lon, j.city, j.country, 0, TRUE, FALSE, 4, r.last_asn, j.ts,
    0, j.n_known - j.n_active, (SELECT count(*) FROM ju x WHERE x.prefix = r.prefix AND x.ts < r.ts AND x.is_withdrawal AND x.ts - x.ts % 60 >= r.ts - 600), 0, 0
   FROM life l JOIN rows_ r ON r.prefix = l.prefix AND r.k = l.k AND r.msg = 0 AND l.kind = -1 JOIN ju j ON j.prefix = r.prefix AND j.rn = (SELECT max(rn) FROM ju x WHERE x.prefix = r.prefix AND x.ts < r.ts)),
 events_ AS (SELECT * EXCLUDE (sic, sit), CASE WHEN sit IS NOT NULL THEN md5(concat(prefix, '|', sic::STRING, '|', sit::STRING)) END AS incident_id FROM ev)"""])
@@ -1017,7 +1017,7 @@ E2E_SQL = JUDGED_SQL + ", classified AS (SELECT * FROM events_)"
 
 
 @query("classified_summary", sql(EVENT_TABLES, "SELECT * FROM sc", E2E_SQL + ", " + ", ".join([
-    """st AS (SELECT prefix, ts AS last_update_ts, state_class AS classified_type, state_asn AS origin_asn FROM (
+    """st AS (SELECT prefix, state_ts AS last_update_ts, state_class AS classified_type, state_asn AS origin_asn FROM (
   SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY ts DESC, coalesce(update_id, -1) DESC) AS rn FROM classified
   WHERE is_withdrawal OR (classification <> old_classification AND state_class = classification)) WHERE rn = 1)""",
     PS_SQL, space_sql("classified_type", "cl"), SUMMARY_SQL]), recursive=True))

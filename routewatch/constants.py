@@ -93,3 +93,6 @@ ALERT_KEY_SECONDS = 14400
 EWMA_ALPHA, EWMA_MAX_GAP, EWMA_RETENTION, EWMA_MIN_SD = 0.95, 60, 3600, 1e-5
 SIGNIFICANT_IPV4, SIGNIFICANT_IPV6 = 5000, 500
 DAY = 86400
+
+# Latitudes beyond this are drawn at it.
+MAP_LATITUDE = 89.5

@@ -51,6 +51,8 @@ SELECT CAST(event_id AS BIGINT) AS update_id, CAST(ts AS BIGINT) AS ts, pid,
        WHEN event_id % 4 = 0 THEN concat('3356 ', CAST(5000 + pid % 500 AS STRING), ' 174 ', CAST(o AS STRING))
        WHEN event_id % 4 = 1 THEN concat('1299 2914 3257 ', CAST(o AS STRING))
        WHEN event_id % 4 = 2 THEN concat('6939 ', CAST(o AS STRING), ' ', CAST(o AS STRING))
+       WHEN event_id % 16 = 7 THEN concat('64701 64702 64701 ', CAST(o AS STRING))
+       WHEN event_id % 16 = 15 AND pid % 4 = 1 THEN concat('174 ', CAST(5000 + pid % 500 AS STRING), ' ', CAST(o AS STRING))
        ELSE concat('6939 ', CAST(5000 + pid % 500 AS STRING), ' ', CAST(5100 + pid % 500 AS STRING), ' ', CAST(o AS STRING)) END AS path_str,
   CASE WHEN event_type = 'purchase' AND pid % 6 = 2 THEN '64500:1 65535:666' ELSE '64496:100' END AS comm_str,
   CASE WHEN sn % 3 = 0 THEN 'routeviews' ELSE 'ris' END AS source

@@ -35,11 +35,11 @@ def ranges_to_cidrs(df: DataFrame, start="start_ip", end="end_ip") -> DataFrame:
     """Rows of [start, end] address ranges -> their minimal CIDR blocks (network, len, cidr).
 
     A block of size 2^k is in the answer when it is aligned, inside the range, and its parent
-    block is not inside the range. Both ends can contribute at most one block per size, so 33
-    sizes times two ends are tried per range, without any loop over addresses.
+    block is not inside the range. Both ends can contribute at most one block per size, so two
+    blocks of every size up to the range's own are tried, without any loop over addresses.
     """
     s, e = F.col(start).cast("long"), F.col(end).cast("long")
-    cand = df.filter(s <= e).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(32))))
+    cand = df.filter(s <= e).withColumn("k", F.explode(F.sequence(F.lit(0), F.length(F.bin(e - s + 1)) - 1)))
     size = F.pow(F.lit(2), F.col("k")).cast("long")
     first = F.ceil(s / size).cast("long") * size
     last = F.floor((e + 1) / size).cast("long") * size - size

@@ -228,16 +228,16 @@ READ = ["prefix", CHUNK, "ts", "is_withdrawal", "cand", "cand_leak", "needs_chec
 MADE = [("kind", pa.int32()), ("classification", pa.int32()), ("old_classification", pa.int32()),
         ("state_class", pa.int32()), ("incident_class", pa.int32()), ("incident_ts", pa.int64()),
         ("incident_start_time", pa.int64()), ("leak_type", pa.int32()), ("leaker_asn", pa.int64()),
-        ("victim_asn", pa.int64())]
+        ("victim_asn", pa.int64()), ("state_ts", pa.int64())]
 MADE_DDL = ("kind int, classification int, old_classification int, state_class int, incident_class int, "
-            "incident_ts long, incident_start_time long, leak_type int, leaker_asn long, victim_asn long")
+            "incident_ts long, incident_start_time long, leak_type int, leaker_asn long, victim_asn long, state_ts long")
 CHECK = -1  # kind of a row made by the outage check
 
 
-def _made(kind, cls, old, state, incident, start, leak):
+def _made(kind, cls, old, state, incident, start, leak, state_ts):
     if kind in (ENDED, CONTINUED) and leak is not None and leak[0] == 0:
         leak = None  # a hijack leaves no leak type behind
-    return (kind, cls, old, state, *(incident or (None, None)), start, *(leak or (None, None, None)))
+    return (kind, cls, old, state, *(incident or (None, None)), start, *(leak or (None, None, None)), state_ts)
 
 
 def _edge(ts):
@@ -290,7 +290,7 @@ class Replay:
             _, asn, n_wd, wd, wd_next, prev_ts, hist, geo = life.last
             # a minute of withdrawals may have left the look-back since the last update
             total = wd if _edge(at) == _edge(prev_ts) else wd_next
-            self.found.append((self.place, at, asn, hist, n_wd, total, incident, geo))
+            self.found.append((self.place, at, asn, hist, n_wd, total, incident, geo, prev_ts))
 
     def _take(self, i, prefix, chunk, ts, wd, cand, leak, ask, fw, asn, hist, cycle, n_wd, w10, w10n,
               carry, is_last):
@@ -307,7 +307,7 @@ class Replay:
         life.last = (fw, asn, n_wd, w10, w10n, ts, hist, i)
         if ask:
             life.ask(ts)
-        self.made.append(_made(kind, cls, old, life.cls, incident, start, shown))
+        self.made.append(_made(kind, cls, old, life.cls, incident, start, shown, ts))
 
 
 def restore(carry) -> Life:
@@ -340,8 +340,8 @@ def _events(now, schema: T.StructType):
     return run
 
 
-def _check_row(place, at, asn, hist, n_wd, n_withdrawals, incident, geo):
-    made = dict(zip([n for n, _ in MADE], _made(CHECK, K.OUTAGE, K.NONE, K.OUTAGE, incident, at, None)))
+def _check_row(place, at, asn, hist, n_wd, n_withdrawals, incident, geo, update_ts):
+    made = dict(zip([n for n, _ in MADE], _made(CHECK, K.OUTAGE, K.NONE, K.OUTAGE, incident, at, None, update_ts)))
     return {"prefix": place[0], CHUNK: place[1], "ts": at, "asn": asn, "historical_asn": hist,
             "is_withdrawal": False, "flap_cycle": 0, "num_collectors": 0, "num_peers": n_wd,
             "num_withdrawals": n_withdrawals, "num_announcements": 0, "flap_count": 0,
@@ -405,6 +405,7 @@ def _slice_carries(rows: DataFrame) -> DataFrame:
 def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
     """Events: one row per judged update, and one per outage the ten-second check finds.
 
+    ``state_ts`` is the time of the prefix's last update, also where a check found the outage.
     Updates with an ``event_time`` (microseconds) give events with one.
 
     ``now`` ends the replay: checks due after it are left out (None: all are run).
@@ -444,7 +445,7 @@ def classify_batch(prepared: DataFrame, now=None) -> DataFrame:
         "source", "lat", "lon", "city", "country",
         F.when(F.col("kind") == CHECK, 0).otherwise(F.col("flap_cycle")).cast("long").alias("num_flaps"),
         (~quiet).alias("is_classified"), "is_withdrawal", "state_class",
-        F.col("asn").alias("state_asn"), *timed)
+        F.col("asn").alias("state_asn"), "state_ts", *timed)
 
 
 def classify(updates: DataFrame, dims: dict, now=None, target_rows=2_000_000) -> DataFrame:

@@ -23,8 +23,10 @@ def prefix_state(events: DataFrame) -> DataFrame:
     changed = F.col("is_withdrawal") | ((F.col("old_classification") != F.col("classification")) & (
         F.col("state_class") == F.col("classification")))
     rows = events.filter(changed)
+    # an outage found by the timed check leaves the time of the last update
+    updated = F.col("state_ts" if "state_ts" in events.columns else "ts").alias("ts")
     last = rows.groupBy("prefix").agg(F.max_by(
-        F.struct("ts", "state_class", "state_asn"), F.struct("ts", F.coalesce("update_id", F.lit(-1)))).alias("s"))
+        F.struct(updated, "state_class", "state_asn"), F.struct("ts", F.coalesce("update_id", F.lit(-1)))).alias("s"))
     return last.select("prefix", F.col("s.ts").alias("last_update_ts"),
                        F.col("s.state_class").alias("classified_type"), F.col("s.state_asn").alias("origin_asn"))
 

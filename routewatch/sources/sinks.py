@@ -1,36 +1,47 @@
 """Table sinks: appended events, replaced state tables, and the day report."""
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 from ..plans.alerts import merge_alerts
 from ..plans.summary import flap_events, merge_prefix_state, prefix_state, retain_recent
 
 
-def _exists(spark, path):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+KEPT_VERSIONS = 3
+
+
+def _folder(spark, path):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark, path):
+    """Numbers of the table's complete versions, oldest first. What a failed write left does not count."""
+    fs, done = _folder(spark, f"{path}/v-*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in (fs.globStatus(done) or []))
 
 
-def _current(spark, path):
-    """Folder of the table's latest version, named in a one-line pointer file."""
-    if not _exists(spark, f"{path}/_current"):
-        return None
-    return f"{path}/" + spark.read.text(f"{path}/_current").first()[0]
+def _at(path, version):
+    return f"{path}/v-{version:012d}"
 
 
 def read_table(spark, path) -> DataFrame | None:
-    at = _current(spark, path)
-    return None if at is None else spark.read.parquet(at)
+    """The latest complete version; None where there is none yet."""
+    there = _versions(spark, path)
+    return spark.read.parquet(_at(path, there[-1])) if there else None
 
 
 def replace_table(df: DataFrame, path):
-    """Write a new version next to the old one and point to it, so readers and the job itself can
-    read the old version meanwhile."""
-    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    """Write the next version; it is the table from the moment it is complete.
+
+    Readers and the job itself can read the version before meanwhile. One writer per table; a crash
+    at any point leaves the last complete version. Versions beyond the last three are dropped.
+    """
+    spark = df.sparkSession
+    there = _versions(spark, path)
+    df.write.mode("overwrite").parquet(_at(path, there[-1] + 1 if there else 1))
+    for old in there[:1 - KEPT_VERSIONS]:
+        fs, at = _folder(spark, _at(path, old))
+        fs.delete(at, True)
 
 
 def upsert_prefix_state(events: DataFrame, path):

@@ -14,7 +14,7 @@ EVENT_DDL = (
     "update_id long, ts long, prefix string, asn long, peer_ip string, historical_asn long, classification int, "
     "old_classification int, incident_id string, incident_start_time long, leak_type int, leaker_asn long, "
     "victim_asn long, details string, source string, lat double, lon double, city string, country string, "
-    "num_flaps long, is_classified boolean, is_withdrawal boolean, state_class int, state_asn long")
+    "num_flaps long, is_classified boolean, is_withdrawal boolean, state_class int, state_asn long, state_ts long")
 EVENT_COLS = [c.split()[0] for c in EVENT_DDL.split(", ")]
 STATE = StructType([StructField("tracker", StringType())])
 WATERMARK = "10 minutes"

@@ -93,7 +93,7 @@ def test_outage_check_and_recovery(spark):
     rows += [(1100 + i, f"h{i}", f"p{i}", True, 0) for i in range(3)] + [(1200, "h0", "p0", False, 100)]
     out = classify(make(spark, "4.4.4.0/24", rows), seen(spark, "4.4.4.0/24", 100)).collect()
     check = [r for r in out if r.source == "timer"]
-    assert [(r.ts, r.classification, r.anomaly_details.num_peers) for r in check] == [(1112, 4, 3)]
+    assert [(r.ts, r.classification, r.anomaly_details.num_peers, r.state_ts) for r in check] == [(1112, 4, 3, 1102)]
     back = next(r for r in out if r.update_id == 6)
     assert (back.classification, back.old_classification, back.incident_id) == (0, 4, check[0].incident_id)
     # a replay that ends before the check is due does not run it

@@ -72,6 +72,43 @@ def test_state_and_alert_tables(spark, sf):
     assert sinks.read_table(spark, f"{root}/alerts").count() == AL.merge_alerts(None, a).count()
 
 
+def test_table_versions(spark):
+    """A write that never finished is not the table, and old versions go."""
+    root = tempfile.mkdtemp(prefix="routewatch-versions-")
+    assert sinks.read_table(spark, f"{root}/t") is None
+    for i in range(5):
+        sinks.replace_table(spark.range(i + 1), f"{root}/t")
+    os.makedirs(f"{root}/t/v-000000000006")
+    assert sinks.read_table(spark, f"{root}/t").count() == 5
+    sinks.replace_table(sinks.read_table(spark, f"{root}/t").limit(2), f"{root}/t")
+    assert sinks.read_table(spark, f"{root}/t").count() == 2
+    assert sorted(os.listdir(f"{root}/t")) == [f"v-{n:012d}" for n in (4, 5, 6)]
+
+
+def test_order_inside_a_second(spark):
+    """Withdrawn and announced again within a second: the last message is the last row."""
+    def line(at, n, **what):
+        return json.dumps({"type": "ris_message", "data": {"timestamp": at, "peer": "192.0.2.7", "id": f"192.0.2.7-018c7a1ab0a4{n:04x}",
+                                                           "type": "UPDATE", "path": [1, 2], **what}})
+    lines = []
+    for i in range(100):
+        net = f"20.{i}.0.0/16"
+        up = {"announcements": [{"next_hop": "x", "prefixes": [net]}]}
+        lines += [line(1700000000.9, 2, **up), line(1700000000.1, 1, withdrawals=[net])] if i % 2 else [
+            line(1700000000.5, 7, withdrawals=[net]), line(1700000000.5, 6, **up)]
+    rows = feeds.ris_rows(spark.createDataFrame([(x,) for x in lines], "value string"))
+    last = {r.prefix: r.w for r in rows.groupBy("prefix").agg(F.max_by("is_withdrawal", F.struct("ts", "update_id")).alias("w")).collect()}
+    assert all(last[f"20.{i}.0.0/16"] == (i % 2 == 0) for i in range(100))
+    assert {r[0].microsecond for r in rows.select("event_time").collect()} == {100000, 500000, 900000}
+
+
+def test_kafka_values(spark):
+    texts = ['{"ts": 5, "prefix": "1.0.0.0/8", "host": "h"}', '{"ts": 5}', "binary", None]
+    rows, rejected = feeds.kafka_rows(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert [(r.ts, r.prefix) for r in rows.collect()] == [(5, "1.0.0.0/8")]
+    assert rejected.count() == 3
+
+
 def test_day_summary_and_rpki_cache(spark, sf):
     root = tempfile.mkdtemp(prefix="routewatch-day-")
     e, d = X.load(spark, sf, "classified"), X.dims(spark, sf)
