@@ -14,6 +14,11 @@ def _folder(spark, path):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark, path):
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
 def _versions(spark, path):
     """Numbers of the table's complete versions, oldest first. What a failed write left does not count."""
     fs, done = _folder(spark, f"{path}/v-*/_SUCCESS")

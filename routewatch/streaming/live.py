@@ -86,7 +86,7 @@ def transitions_stream(events: DataFrame, target_states=None, seconds=300) -> Da
 
 
 def start_tables(events: DataFrame, root: str, checkpoint: str, **trigger):
-    """Keep prefix state, flap events and transitions as tables fed from a stream of events.
+    """Keep prefix state, flap events and critical rows as tables fed from a stream of events.
 
     A repeated micro-batch writes the same rows again: state is replaced, and appended rows are
     written to a folder per batch.
@@ -102,11 +102,21 @@ def start_tables(events: DataFrame, root: str, checkpoint: str, **trigger):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def start_transitions(events: DataFrame, root: str, checkpoint: str, **trigger):
+    """Keep the transitions as a table, a folder per micro-batch."""
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/transitions/batch={batch_id}")
+
+    return transitions_stream(events).writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def start_alerts(critical: DataFrame, root: str, checkpoint: str, **trigger):
     """Evaluate the closed minute ticks after every micro-batch and keep the alert table.
 
     Scores and cooldowns look back without a bound, so all critical events are kept as a table and
-    the batch plan runs over them: the alerts are those of the batch plan.
+    the batch plan runs over them: the alerts are those of the batch plan. A tick counts once a later
+    second was seen.
     """
     def write(batch, batch_id):
         spark = batch.sparkSession
@@ -115,7 +125,7 @@ def start_alerts(critical: DataFrame, root: str, checkpoint: str, **trigger):
         now = kept.agg(F.max("ts")).first()[0]
         if now is None:
             return
-        found = alerts(kept).filter(F.col("timestamp") <= now)
+        found = alerts(kept).filter(F.col("timestamp") < now)
         sinks.upsert_alerts(found, f"{root}/alerts")
 
     return critical.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

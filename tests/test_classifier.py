@@ -12,7 +12,7 @@ from routewatch.operators.networks import as_flags
 from routewatch.plans.classify import classify, remembered_origins, with_historical
 from routewatch.session import cut
 from routewatch.streaming.classifier import classify_stream
-from routewatch.streaming.enrich import enrich
+from routewatch.streaming.enrich import enrich, start_enrich
 from routewatch.streaming.tracker import Tracker
 
 SCHEMA = ("update_id long, ts long, prefix string, host string, peer string, is_withdrawal boolean, origin_asn long, "
@@ -131,6 +131,23 @@ def test_sliced_prefixes_equal_replay(case):
     assert batch_rows(classify(u, dims, target_rows=100)) == expected
 
 
+def test_enriched_stream_equals_replay(spark, case):
+    """Micro-batches enriched one by one, stopped after the first file and started again."""
+    u, dims, _, expected = case
+    folder = tempfile.mkdtemp(prefix="routewatch-enrich-")
+    parts = ((0, 1704069000), (1704069000, 1704072500), (1704072500, 1 << 40))
+    for i, (low, high) in enumerate(parts):
+        u.filter((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.parquet(f"{folder}/in/p{i}")
+        if i == 1:
+            continue
+        s = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        q = start_enrich(s, dims, f"{folder}/out", f"{folder}/c", availableNow=True)
+        q.awaitTermination(300)
+        assert q.exception() is None
+    rich = spark.read.parquet(f"{folder}/out/enriched").drop("batch")
+    assert replay([r.asDict(recursive=True) for r in rich.collect()]) == expected
+
+
 def test_stream_equals_replay(spark, case):
     _, _, rich, expected = case
     folder = tempfile.mkdtemp(prefix="routewatch-stream-")

@@ -84,7 +84,14 @@ def test_alert_windows(spark, folder):
 def test_transitions(spark, folder):
     got = run(live.transitions_stream(stream(spark, folder)), "trans")
     want = IN.transitions(folder[1].withColumns({"leak_detail": F.lit(None), "anomaly_details": F.lit(None).cast("struct<a:int>")}))
-    assert sorted(r.update_id for r in got.collect()) == sorted(r.update_id for r in want.collect())
+    ids = sorted(r.update_id for r in want.collect())
+    assert sorted(r.update_id for r in got.collect()) == ids
+    root = tempfile.mkdtemp(prefix="routewatch-transitions-")
+    q = live.start_transitions(stream(spark, folder), root, f"{root}/c", availableNow=True)
+    q.awaitTermination(180)
+    assert q.exception() is None
+    kept = spark.read.parquet(f"{root}/transitions").filter("prefix <> 'end'")
+    assert sorted(r.update_id for r in kept.collect()) == ids
 
 
 def test_tables_and_alerts(spark, folder):
