@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the small tables."""
+"""Every query of the catalog against its SQL on the small tables."""
 
 import glob
 import math
@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_module
+from routewatch import catalog
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
