@@ -1,21 +1,27 @@
 """Repeated passages: content-defined chunks of lines, with DataFrame functions only.
 
-A chunk ends after a line where a rolling hash over the hashes of the last lines is a multiple of the
-divisor. Where a chunk ends thus depends on the lines just before, not on the place in the text, and a
-passage copied elsewhere falls into the same chunks from its first own boundary on. Chunks of several
-lines that occur more than once in the corpus are compared byte by byte, and all but the first go.
-
-Chunks of which there is a copy are found by digest first, so that only their text is moved.
-Digests that many documents share are counted and marked by salted groups.
+A rolling hash runs over the hashes of a text's lines, a few lines at a time. Where no other place of
+the corpus has the same rolling hash, a chunk ends: a boundary depends on the lines around it alone,
+so a passage copied anywhere, at any shift, falls into the same chunk. Windows that others share are
+compared byte by byte, and of equal ones all but the first go; what goes in a text is thus its chunks
+of several lines that stand earlier in the corpus.
+
+Windows with a copy are found by hash first, so that only their text is moved. Hashes that many
+documents share are counted and marked by salted groups.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import one_row_per_salt, salt_bit, salt_of, whole_text, written
 
-#: Lines that a boundary looks at, the mean number of lines in a chunk, the fewest lines of a chunk that may go.
-WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
-FACTOR, MODULUS = 1_000_003, 2_147_483_647
+#: Lines that the rolling hash spans: the shortest chunk that may go.
+WINDOW = 2
+
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def _held(df: DataFrame, **columns) -> DataFrame:
@@ -23,72 +29,93 @@ def _held(df: DataFrame, **columns) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def chunked(docs: DataFrame, window=WINDOW, divisor=DIVISOR) -> DataFrame:
-    """doc_id, text_md5, salt, lines, chunks: an array of (no, first, n_lines) for every row."""
+def _turned(hashed: Column, bits: int) -> Column:
+    """The 64 bits turned left."""
+    if not bits:
+        return hashed
+    return F.call_function("shiftleft", hashed, F.lit(bits)).bitwiseOR(F.shiftrightunsigned(hashed, 64 - bits))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_md5, salt, lines of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("content"))
     rows = rows.withColumns({"text_md5": F.unhex(F.md5("content")), "lines": F.split("content", "\n")})
-    rows = rows.withColumn("salt", salt_of("doc_id", "text_md5")).drop("content")
-    rows = _held(rows, hashes=F.transform("lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")))
+    return rows.withColumn("salt", salt_of("doc_id", "text_md5")).drop("content")
+
+
+def windows(rows: DataFrame, window=WINDOW, line_hash: Callable[[Column], Column] = line_hash) -> DataFrame:
+    """doc_id, text_md5, salt, no, h: the rolling hash (cyclic polynomial) of each run of ``window`` lines, by its first line."""
+    held = _held(rows, hashes=F.transform("lines", line_hash)).drop("lines")
 
     def rolled(i):
-        out = F.get("hashes", i)
-        for back in range(1, window):
-            out = out + F.coalesce(F.get("hashes", i - back), F.lit(0)) * pow(FACTOR, back, MODULUS) % MODULUS
-        return out % MODULUS
+        out = _turned(F.get("hashes", i), window - 1)
+        for ahead in range(1, window):
+            out = out.bitwiseXOR(_turned(F.get("hashes", i + ahead), window - 1 - ahead))
+        return F.struct(i.alias("no"), out.alias("h"))
+
+    last = F.size("hashes") - window
+    held = held.filter(last >= 0).withColumn("w", F.explode(F.transform(F.sequence(F.lit(0), last), rolled)))
+    return held.select("doc_id", "text_md5", "salt", "w.no", "w.h")
+
+
+def _same_document(doc_id="d", text_md5="t"):
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("text_md5") == F.col(text_md5))
+
 
-    last = F.size("lines") - 1
-    rows = _held(rows, ends=F.filter(F.sequence(F.lit(0), last), lambda i: (i == F.size("lines") - 1) | (rolled(i) % divisor == 0)))
-    chunk = lambda end, no: F.struct(
-        no.alias("no"), (F.coalesce(F.get("ends", no - 1), F.lit(-1)) + 1).alias("first"),
-        (end - F.coalesce(F.get("ends", no - 1), F.lit(-1))).alias("n_lines"))
-    return _held(rows, chunks=F.transform("ends", chunk)).drop("hashes", "ends")
+def _firsts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The first place of every different window, its number of places and their salts; equal means equal bytes."""
+    salted = texts.groupBy(*keys, "salt").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    return salted.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
 
 
-def _texts(rows: DataFrame, which) -> DataFrame:
-    """A row per chunk that ``which`` (a condition on a chunk) takes, with its text."""
-    found = rows.select("doc_id", "text_md5", "salt", "lines", F.explode(F.filter("chunks", which)).alias("c"))
-    return found.select("doc_id", "text_md5", "salt", F.col("c.no").alias("no"),
-                        F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n_lines")), "\n").alias("chunk"))
+def _later(places: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Places that are not the first of their window."""
+    several = one_row_per_salt(firsts.filter("n > 1").select(*keys, "first", "salts"))
+    return places.join(several, [*keys, "salt"]).filter(~F.col("place").eqNullSafe(F.col("first"))).select("place")
 
 
-def line_dedup(docs: DataFrame, window=WINDOW, divisor=DIVISOR, min_lines=MIN_LINES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_chunks, removed_chunks, removed_lines, text (what stays).
+def line_dedup(docs: DataFrame, window=WINDOW, line_hash: Callable[[Column], Column] = line_hash) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, removed_chunks, removed_lines, text (what stays).
 
-    Of equal chunks of at least ``min_lines`` lines the first stays, by doc_id (null first), the
-    text's MD5, and place; within a document later copies go too. Rows repeated with the same doc_id
-    and text are one document and keep the same chunks. Lines end at line feeds; null texts are empty
-    and have one empty line. An empty table gives no rows; other columns are not read.
+    Of equal runs of ``window`` lines the first stays, by doc_id (null first), the text's MD5, and
+    place; the lines of the others go, also within one document. Runs that touch or overlap make one
+    chunk. A line that goes always stays somewhere before. Rows repeated with the same doc_id and text
+    are one document and keep the same lines. Lines end at line feeds; null texts are empty and have
+    one empty line; a passage of fewer lines than ``window`` stays. An empty table gives no rows; other
+    columns are not read.
     """
-    rows = chunked(docs, window, divisor)
-    several = lambda c: c.n_lines >= min_lines
+    rows = _lines(docs)
 
-    # which digests occur more than once: small rows, combined in the map tasks, then by salt
-    places = _texts(rows, several).select("doc_id", "text_md5", "salt", "no", F.unhex(F.md5("chunk")).alias("digest"))
-    counts = places.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(
+    # which hashes occur more than once: small rows, combined in the map tasks, then by salt
+    found = windows(rows, window, line_hash)
+    counts = found.groupBy("h", "salt").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(
         F.sum("n").alias("n"), F.bit_or(salt_bit(F.col("salt"))).alias("salts")).filter("n > 1").drop("n")
-    marked = places.join(one_row_per_salt(counts), ["digest", "salt"]).groupBy("doc_id", "text_md5").agg(F.collect_set("no").alias("marked"))
-    marked = written(marked, "marked-chunks")
-
-    # their texts, compared byte by byte
-    # merge joins at every size: a broadcast would hold only while few documents share chunks
-    candidates = rows.join(marked.withColumnRenamed("doc_id", "d").withColumnRenamed("text_md5", "t").hint("merge"),
-                           F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("t")))
-    candidates = written(_texts(candidates.withColumn("chunks", F.filter("chunks", lambda c: F.array_contains("marked", c.no))), several), "candidate-chunks")
-    same = ["chunk"]
-    first = F.min(F.struct("doc_id", "text_md5", "no"))
-    groups = candidates.groupBy(*same, "salt").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).groupBy(*same).agg(
-        F.min("first").alias("first"), F.sum("n").alias("n"), F.bit_or(salt_bit(F.col("salt"))).alias("salts")).filter("n > 1").drop("n")
-    here = F.struct("doc_id", "text_md5", "no")
-    gone = candidates.join(one_row_per_salt(groups), [*same, "salt"]).filter(~here.eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id", "text_md5").agg(F.collect_set("no").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("d"), F.col("text_md5").alias("t"), "gone")
-
-    out = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("t")), "left")
-    out = _held(out, removed=F.filter("chunks", lambda c: F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c.no)),
-                stays=F.filter("chunks", lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c.no)))
-    kept = F.flatten(F.transform("stays", lambda c: F.slice("lines", c["first"] + 1, c.n_lines)))
+    marked = found.join(one_row_per_salt(counts), ["h", "salt"]).groupBy("doc_id", "text_md5", "salt").agg(
+        F.collect_set(F.struct("no", "h")).alias("marked"))
+    marked = written(marked, "marked-windows")
+    places = marked.select("doc_id", "text_md5", "salt", F.inline("marked")).withColumn("place", F.struct("doc_id", "text_md5", "no"))
+
+    # their texts, compared byte by byte; merge joins at every size: a broadcast would hold only while few documents share windows
+    right = marked.select(F.col("doc_id").alias("d"), F.col("text_md5").alias("t"), "marked").hint("merge")
+    text = lambda w: F.struct(w.no.alias("no"), w.h.alias("h"), F.array_join(F.slice("lines", w.no + 1, window), "\n").alias("chunk"))
+    texts = rows.join(right, _same_document()).select("doc_id", "text_md5", "salt", F.inline(F.transform("marked", text)))
+    texts = texts.select("h", "salt", "chunk", F.struct("doc_id", "text_md5", "no").alias("place"))
+    firsts = written(_firsts(texts, ["h", "chunk"]).drop("chunk"), "first-windows")
+    shared = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("h")
+    if shared.isEmpty():  # a hash tells its text
+        gone = _later(places, firsts, ["h"])
+    else:
+        alone = _later(places.join(shared, "h", "left_anti"), firsts.join(shared, "h", "left_anti"), ["h"])
+        several = texts.join(shared, "h")
+        gone = alone.unionByName(_later(several, _firsts(several, ["h", "chunk"]), ["h", "chunk"]))
+    gone = gone.groupBy(F.col("place.doc_id").alias("d"), F.col("place.text_md5").alias("t")).agg(F.collect_set("place.no").alias("gone"))
+
+    out = rows.join(gone.hint("merge"), _same_document(), "left")
+    lines_of = F.transform("gone", lambda no: F.sequence(no, no + (window - 1)))
+    out = _held(out, removed=F.coalesce(F.array_distinct(F.flatten(lines_of)), F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     return out.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
-        F.size("removed").cast("long").alias("removed_chunks"),
-        F.aggregate("removed", F.lit(0).cast("long"), lambda n, c: n + c.n_lines).alias("removed_lines"),
-        F.array_join(kept, "\n").alias("text"))
+        "doc_id", F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.array_except("removed", F.transform("removed", lambda i: i + 1))).cast("long").alias("removed_chunks"),
+        F.size("removed").cast("long").alias("removed_lines"),
+        F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n").alias("text"))

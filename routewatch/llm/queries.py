@@ -75,27 +75,21 @@ QUERIES = {q.__name__: q for q in (
 _TEXT = "coalesce(text, '')"
 
 _OP1 = r"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS content, md5(coalesce(text, '')) AS text_md5 FROM documents),
+WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS content, md5(coalesce(text, '')) AS text_md5 FROM documents),
 lines AS (
   SELECT doc_id, text_md5, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no
   FROM docs),
-hashed AS (SELECT *, CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS h FROM lines),
-rolled AS (
-  SELECT *, (h + coalesce(lag(h) OVER p, 0) * 1000003 % 2147483647) % 2147483647 % 3 = 0 OR lead(h) OVER p IS NULL AS ends
-  FROM hashed WINDOW p AS (PARTITION BY doc_id, text_md5 ORDER BY line_no)),
-numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (
-    PARTITION BY doc_id, text_md5 ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
-  FROM rolled),
-chunks AS (
-  SELECT doc_id, text_md5, no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS chunk
-  FROM numbered GROUP BY doc_id, text_md5, no),
+pairs AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, text_md5 ORDER BY line_no) AS following FROM lines),
 ranked AS (
-  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, text_md5, no) > 1 AS gone FROM chunks)
-SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) AS n_chunks,
-  count(*) FILTER (gone) AS removed_chunks, CAST(coalesce(sum(n_lines) FILTER (gone), 0) AS BIGINT) AS removed_lines,
-  coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
-FROM ranked GROUP BY doc_id, text_md5
+  SELECT *, following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, text_md5, line_no) > 1 AS later
+  FROM pairs),
+judged AS (
+  SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id, text_md5 ORDER BY line_no), false) AS gone FROM ranked),
+edged AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, text_md5 ORDER BY line_no), false) AS starts FROM judged)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (starts) AS removed_chunks, count(*) FILTER (gone) AS removed_lines,
+  coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text
+FROM edged GROUP BY doc_id, text_md5
 """
 
 _OP5 = r"""

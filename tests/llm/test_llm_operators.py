@@ -79,36 +79,36 @@ def test_exact_dedup(docs, rows, empty, digest):
     assert run(empty).count() == 0
 
 
-def plain_line_dedup(rows):
-    split = {}
-    for row in rows:
-        text = text_of(row)
-        lines = text.split("\n")
-        hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        chunks, start = [], 0
-        for i in range(len(lines)):
-            rolled = (hashes[i] + (hashes[i - 1] if i else 0) * line_dedup.FACTOR % line_dedup.MODULUS) % line_dedup.MODULUS
-            if rolled % line_dedup.DIVISOR == 0 or i == len(lines) - 1:
-                chunks.append(lines[start:i + 1])
-                start = i + 1
-        split[row[0], hashlib.md5(text.encode()).digest()] = chunks
+def plain_line_dedup(rows, window=line_dedup.WINDOW):
+    split = {(row[0], hashlib.md5(text_of(row).encode()).digest()): text_of(row).split("\n") for row in rows}
     seen, out = set(), {}
     for key in sorted(split, key=lambda k: (null_first(k[0]), k[1])):
-        kept, gone = [], 0
-        for chunk in split[key]:
-            if len(chunk) >= 2 and tuple(chunk) in seen:
-                gone += len(chunk)
-            else:
-                kept += chunk
-            if len(chunk) >= 2:
-                seen.add(tuple(chunk))
-        out[key] = (sum(map(len, split[key])), gone, "\n".join(kept))
+        lines, gone = split[key], set()
+        for i in range(len(lines) - window + 1):
+            run = tuple(lines[i:i + window])
+            if run in seen:
+                gone.update(range(i, i + window))
+            seen.add(run)
+        out[key] = (len(lines), sum(i - 1 not in gone for i in gone), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return Counter((row[0], *out[row[0], hashlib.md5(text_of(row).encode()).digest()]) for row in rows)
 
 
-def test_line_dedup(docs, rows, empty):
-    assert tuples(line_dedup.line_dedup(docs), "doc_id", "n_lines", "removed_lines", "text") == plain_line_dedup(rows)
-    assert line_dedup.line_dedup(empty).count() == 0
+@pytest.mark.parametrize("window", [2, 3])
+@pytest.mark.parametrize("line_hash", [line_dedup.line_hash, lambda line: F.xxhash64(line) % 3], ids=["wide", "colliding"])
+def test_line_dedup(docs, rows, empty, window, line_hash):
+    run = lambda df: line_dedup.line_dedup(df, window, line_hash)
+    assert tuples(run(docs), "doc_id", "n_lines", "removed_chunks", "removed_lines", "text") == plain_line_dedup(rows, window)
+    assert run(empty).count() == 0
+
+
+def test_passages_at_any_shift_go(spark):
+    """A passage of several lines goes from every text but the first, whatever stands around it; clean texts stay."""
+    passage = [f"line {i} of a passage that many texts share and that goes on for some words" for i in range(4)]
+    texts = ["\n".join([f"own {d} {i}" for i in range(d)] + passage[:2 + d % 3] + [f"end {d}"]) for d in range(30)]
+    found = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [d for d in sorted(found) if not found[d].removed_lines] == [0]
+    for d in range(3, 30):
+        assert found[d].text == "\n".join([f"own {d} {i}" for i in range(d)] + [f"end {d}"]) and found[d].removed_chunks == 1
 
 
 def test_crc32c():
