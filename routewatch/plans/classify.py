@@ -21,6 +21,7 @@ from ..operators.scan import CHUNK, SLICE, Running, find_hot, place, running, sp
 from ..operators.sessions import prefix_counts, session_changes
 from ..session import cut, small
 from .lifecycle import CONTINUED, ENDED, ENTERED, QUIET, Life
+from .rules import rules
 
 UPDATE_COLS = ["update_id", "ts", "prefix", "host", "peer", "is_withdrawal", "origin_asn", "path_str",
                "path_len", "comm_str", "source", "lat", "lon", "city", "country"]
@@ -167,10 +168,12 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     else:
         flags = as_flags(updates.sparkSession.createDataFrame(
             [], "asn long, heg_v4 double, heg_v6 double, pop_pct double, pop_users long"))
-    cold_rows, hot_rows = split_hot(_as_of_update(updates, small(facts)), hot)
-    df = _counted(cold_rows, pairs)
+    # Hot prefixes are taken out before the join with the facts by prefix; their own facts are few.
+    cold_rows, hot_rows = split_hot(updates, hot)
+    df = _counted(_as_of_update(cold_rows, small(facts)), pairs)
     if hot_rows is not None:
-        df = df.unionByName(_counted(hot_rows, pairs, hot))
+        hot_facts = small(cut(facts.join(small(hot.select("prefix")), "prefix", "left_semi")))
+        df = df.unionByName(_counted(_as_of_update(hot_rows, hot_facts), pairs, hot))
     df = leak_patterns(df, updates, flags, when=F.col("n_hosts") >= 7)
 
     zero = F.lit(0).cast("long")
@@ -178,24 +181,17 @@ def prepare(updates: DataFrame, dims: dict, target_rows=2_000_000):
     n_withdrawn = F.col("n_known") - F.col("n_active")
     # The message's own host counts too when none of its sessions is active.
     hosts = F.coalesce("foreign_hosts", zero) + (F.col("host_active") == 0).cast("long")
-    hijack = (F.col("foreign_hosts").isNotNull() & (hist != 0) & (origin != 0) & (origin != hist) & (hosts >= 5))
+    foreign = F.col("foreign_hosts").isNotNull() & (hist != 0) & (origin != 0) & (origin != hist)
     resolved = F.when(origin != 0, origin).when(F.col("last_origin") != 0, F.col("last_origin")).otherwise(hist)
     dark = ((F.col("n_known") >= 3) & (F.col("n_active") == 0) & F.col("elapsed_30") & (resolved != 0))
     waited = F.col("ts") - F.col("fw_ts") >= K.OUTAGE_DELAY
-    leak = F.col("leak").isNotNull() & (F.col("n_hosts") >= 7)
-    # Candidates from the highest priority down, so the first that holds is the best one.
-    rules = [
-        (K.HIJACK, hijack),
-        (K.OUTAGE, dark & waited),
-        (K.ROUTE_LEAK, leak & (F.col("n_hosts") >= 15)),
-        (K.BOGON, F.coalesce(F.col("is_bogon"), F.lit(False))),
-        (K.MINOR_LEAK, leak),
-        (K.DDOS, (F.col("n_hosts") >= 3) & is_blackhole(F.col("comm_str"))),
-        (K.FLAP, (F.col("n_all_hosts") >= 2) & (F.col("flap_10m") >= 3)),
-        (K.PATH_HUNTING, (F.col("n_hosts") >= 2) & (F.col("len_inc_10m") >= 2) & (F.col("path_change_10m") >= 3)),
-    ]
+    facts = {
+        "foreign": foreign, "foreign_hosts": hosts, "dark": dark, "waited": waited, "leak": F.col("leak").isNotNull(),
+        "bogon": F.coalesce(F.col("is_bogon"), F.lit(False)), "blackhole": is_blackhole(F.col("comm_str")),
+        "hosts": F.col("n_hosts"), "all_hosts": F.col("n_all_hosts"), "flaps": F.col("flap_10m"),
+        "longer": F.col("len_inc_10m"), "path_changes": F.col("path_change_10m")}
     cand = F
-    for code, rule in rules:
+    for code, rule in rules(facts):
         cand = cand.when(rule, F.lit(code))
     df = df.withColumn("cand", cand.otherwise(F.lit(0)))
     is_leak = F.col("cand").isin(K.ROUTE_LEAK, K.MINOR_LEAK)

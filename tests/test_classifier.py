@@ -1,6 +1,8 @@
 """Golden sequences of the class life cycle, and batch = sliced batch = replay = stream."""
 
+import random
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from routewatch.plans.classify import classify, remembered_origins, with_histori
 from routewatch.session import cut
 from routewatch.streaming.classifier import classify_stream
 from routewatch.streaming.enrich import enrich, start_enrich
-from routewatch.streaming.tracker import Tracker
+from routewatch.streaming.tracker import Session, Sessions, Tracker
 
 SCHEMA = ("update_id long, ts long, prefix string, host string, peer string, is_withdrawal boolean, origin_asn long, "
           "path_str string, path_len int, comm_str string, source string, lat double, lon double, city string, country string")
@@ -170,3 +172,20 @@ def test_stream_equals_replay(spark, case):
     got = sorted(str(tuple(r[c] for c in COLS)) for r in spark.read.parquet(f"{folder}/out").filter(
         "prefix <> '199.0.0.0/24'").collect())
     assert got == expected
+
+
+def test_running_session_counts():
+    """Counts kept from update to update are those of the sessions there are."""
+    r, sessions = random.Random(3), Sessions()
+    for ts in range(3000):
+        host, origin, down = f"h{r.randrange(4)}", r.randrange(3), r.random() < 0.4
+        sessions.put(f"{host}:{r.randrange(3)}", Session("p", 1, origin, ts, host, down))
+        if r.random() < 0.05:
+            before = ts - r.randrange(200)
+            left = {k for k, s in sessions.items() if not (s.down and s.seen < before)}
+            sessions.forget(before)
+            assert set(sessions) == left
+        up = [s for s in sessions.values() if not s.down]
+        assert sessions.active == len(up)
+        assert sessions.hosts == Counter(s.host for s in up) and sessions.all_hosts == Counter(s.host for s in sessions.values())
+        assert sessions.behind == {o: Counter(s.host for s in up if s.origin == o) for o in {s.origin for s in up}}
