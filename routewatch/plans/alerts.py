@@ -50,10 +50,13 @@ def _ticks(df: DataFrame) -> DataFrame:
 def alert_candidates(critical: DataFrame, now: int | None = None) -> DataFrame:
     """Measures of every (grouping, class, tick): counts, change, address space, score, places."""
     facts = ["prefix", "asn", "as_name", "city", "country"]
-    # Count per second and fact first; a row reaches up to six ticks in four groupings.
-    rows = _grouped(critical).groupBy(*GROUP, *facts, "lat_q", "lon_q", "ts").agg(
+    # Count per fact and minute first, the tick's second apart: all other seconds of a minute lie in
+    # the same windows. A row reaches up to six ticks in four groupings.
+    second = F.pmod(F.col("ts"), F.lit(60))
+    slot = F.col("ts") - F.when(second == TICK_SECOND, 0).otherwise(second)
+    rows = _grouped(critical.withColumn("ts", slot)).groupBy(*GROUP, *facts, "ts").agg(
         F.count("*").alias("n"), F.sum("lat").alias("slat"), F.sum("lon").alias("slon"))
-    rows = _ticks(rows)
+    rows = _ticks(cut(rows))
     if now is not None:
         rows = rows.filter(F.col("tick") == now)
     by = [*GROUP, "tick"]
@@ -62,8 +65,7 @@ def alert_candidates(critical: DataFrame, now: int | None = None) -> DataFrame:
     # The running minute of a tick is the tick's own minute, else the state of the latest one.
     per = rows.groupBy(*by, "prefix").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("recent"), F.col("n")).otherwise(0)).alias("n_recent"),
-        F.sum("slat").alias("slat"), F.sum("slon").alias("slon"),
-        F.max("ts").alias("last_ts"))
+        F.sum("slat").alias("slat"), F.sum("slon").alias("slon"))
     z = states.select("prefix", F.col("minute_ts").alias("_m"),
                       F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("var").alias("_var"))
     # last critical minute of the prefix up to the tick: within the window for recent prefixes

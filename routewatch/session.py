@@ -41,8 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
-    """A written-out table as broadcast side if it has few rows, else as it is (shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) -> DataFrame:
+    """A written-out table as broadcast side if it has few rows and bytes (as text), else as it is (shuffled join)."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
