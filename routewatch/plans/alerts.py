@@ -56,7 +56,7 @@ def alert_candidates(critical: DataFrame, now: int | None = None) -> DataFrame:
     slot = F.col("ts") - F.when(second == TICK_SECOND, 0).otherwise(second)
     rows = _grouped(critical.withColumn("ts", slot)).groupBy(*GROUP, *facts, "ts").agg(
         F.count("*").alias("n"), F.sum("lat").alias("slat"), F.sum("lon").alias("slon"))
-    rows = _ticks(cut(rows))
+    rows = _ticks(rows)
     if now is not None:
         rows = rows.filter(F.col("tick") == now)
     by = [*GROUP, "tick"]

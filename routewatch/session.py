@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def get_spark(master="local[*]", shuffle_partitions=8, app="routewatch"):
@@ -44,8 +44,31 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
+def _width(kind):
+    """Bytes of a value of a type, about, where all values take the same; else None."""
+    if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+        return None
+    if isinstance(kind, T.StructType):
+        parts = [_width(f.dataType) for f in kind.fields]
+        return None if None in parts else 8 + sum(parts)
+    return 8
+
+
+def _bytes(column, kind) -> Column:
+    """Bytes that a value takes, about; what is nested and has texts in it counts as JSON."""
+    width = _width(kind)
+    if width is not None:
+        return F.lit(width).cast("long")
+    if isinstance(kind, T.ArrayType) and _width(kind.elementType) is not None:
+        size = F.greatest(F.size(column), F.lit(0)) * _width(kind.elementType)
+    else:
+        size = F.octet_length(column if isinstance(kind, (T.StringType, T.BinaryType)) else F.to_json(column))
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
 def small(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) -> DataFrame:
-    """A written-out table as broadcast side if it has few rows and bytes (as text), else as it is (shuffled join)."""
-    text = F.octet_length(F.to_json(F.struct(*df.columns)))
-    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= size else df
+    """A written-out table as broadcast side if it has few rows and bytes, else as it is (shuffled join)."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    of_row = sum((_bytes(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(of_row)).first()[0] or 0) <= size else df

@@ -11,6 +11,7 @@ from routewatch.operators import address_space, anomaly, networks, prefix_join,
 from routewatch.plans import alerts as AL
 from routewatch.plans import incidents as IN
 from routewatch.plans import summary as SU
+from routewatch.session import small
 
 CRIT = ("update_id long, ts long, prefix string, city string, country string, asn long, as_name string, org_name string, "
         "lat double, lon double, classification int")
@@ -225,3 +226,10 @@ def test_incidents_move_between_groups(spark):
     assert h.locations == "A, X | X" and h.n_incidents == 2
     assert (o.active_prefixes, o.resolved) == (0, True)
     assert [r.anomaly for r in IN.significant(IN.incidents(t), 100).collect()] == ["BGP Hijack"]
+
+
+def test_broadcasts_are_limited_by_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS t", "array(named_struct('a', id, 'b', 1.5D)) AS s", "array(repeat('y', 10)) AS u")
+    hinted = lambda out: out is not df
+    assert hinted(small(df)) and not hinted(small(df, rows=99)) and not hinted(small(df, size=100_000))
+    assert hinted(small(df.limit(0), size=0)) and hinted(small(df, rows=100, size=200_000))
