@@ -56,8 +56,13 @@ def _mixed(x):
 
 def word_hashes(text: str) -> np.ndarray:
     """A hash of each word. Words are lower-cased runs of ASCII letters and digits and of other letters' bytes."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.concatenate(([False], _WORD[data], [False]))
+    return run_hashes(text.lower().encode("utf-8", "surrogatepass"), _WORD)
+
+
+def run_hashes(text: bytes, is_word: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes for which ``is_word`` holds."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.concatenate(([False], is_word[data], [False]))
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[::2], turns[1::2]
     if not len(starts):
