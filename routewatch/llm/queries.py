@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from .conversation_repair import damaged, repair
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -14,6 +15,7 @@ from .shared import table
 from .simhash_dedup import near_groups
 from .token_counts import prefix_counts
 from .token_records import read_records, write_records
+from .topk_search import top_k, vectors
 from .warc import normalise, read_archives, write_monolithic
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -67,9 +69,19 @@ def op10_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op11_topk_search(spark, sf_dir):
+    rows = vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return repair(damaged(turns), turns)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_line_dedup, op2_token_records, op3_quality, op4_decontamination, op5_exact_dedup, op6_mixing, op7_warc,
-    op8_token_counts, op9_secret_scan, op10_simhash_dedup)}
+    op8_token_counts, op9_secret_scan, op10_simhash_dedup, op11_topk_search, op12_conversation_repair)}
 
 #: Words and lines in DuckDB's SQL. String literals have no escapes there, so patterns read as they are.
 _TEXT = "coalesce(text, '')"
@@ -152,4 +164,16 @@ SELECT doc_id, epoch, domain, lang, source, n_tokens FROM ordered WHERE epoch <
 """
 
 
-ORACLES = {"op1_line_dedup": _OP1, "op5_exact_dedup": _OP5, "op6_mixing": _op6()}
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+ORACLES = {"op11_topk_search": _OP11, "op1_line_dedup": _OP1, "op5_exact_dedup": _OP5, "op6_mixing": _op6()}

@@ -52,6 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made and nothing reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        files, path = file_system(folder)
+        files.delete_dir(path)
+
+
 def file_system(uri: str):
     """The file system of a folder's URI and the path in it; to be called inside tasks."""
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://") if uri.startswith("file:") else f"file://{uri}")

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 def of_duckdb(sql):
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     found = con.sql(sql)
     return list(found.columns), found.fetchall()
