@@ -9,6 +9,7 @@ from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .phrase_mining import collocations
 from .quality import fit, score
 from .secret_scan import secret_scan
 from .shared import table
@@ -79,9 +80,14 @@ def op12_conversation_repair(spark, sf_dir):
     return repair(damaged(turns), turns)
 
 
+def op13_phrase_mining(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_line_dedup, op2_token_records, op3_quality, op4_decontamination, op5_exact_dedup, op6_mixing, op7_warc,
-    op8_token_counts, op9_secret_scan, op10_simhash_dedup, op11_topk_search, op12_conversation_repair)}
+    op8_token_counts, op9_secret_scan, op10_simhash_dedup, op11_topk_search, op12_conversation_repair,
+    op13_phrase_mining)}
 
 #: Words and lines in DuckDB's SQL. String literals have no escapes there, so patterns read as they are.
 _TEXT = "coalesce(text, '')"
@@ -176,4 +182,38 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
-ORACLES = {"op11_topk_search": _OP11, "op1_line_dedup": _OP1, "op5_exact_dedup": _OP5, "op6_mixing": _op6()}
+_OP13 = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, p FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS p
+    FROM documents)),
+words AS (
+  SELECT lang, piece, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w1
+  FROM (SELECT lang, piece, regexp_extract_all(p, '[^ 	]+') AS ws FROM pieces)),
+runs AS (SELECT lang, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY piece ORDER BY pos)),
+totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2) AS phrase, t.f AS a, a1.f AS l, b1.f AS r, 1 AS k
+  FROM f2 AS t JOIN f1 AS a1 ON a1.lang = t.lang AND a1.w1 = t.w1 JOIN f1 AS b1 ON b1.lang = t.lang AND b1.w1 = t.w2
+  WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = t.lang AND f3.w1 = t.w1 AND f3.w2 = t.w2 AND 100 * f3.f >= 50 * t.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = t.lang AND f3.w2 = t.w1 AND f3.w3 = t.w2 AND 100 * f3.f >= 50 * t.f)
+  UNION ALL
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, a1.f, b2.f, 1
+  FROM f3 AS t JOIN f1 AS a1 ON a1.lang = t.lang AND a1.w1 = t.w1 JOIN f2 AS b2 ON b2.lang = t.lang AND b2.w1 = t.w2 AND b2.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, a2.f, b1.f, 2
+  FROM f3 AS t JOIN f2 AS a2 ON a2.lang = t.lang AND a2.w1 = t.w1 AND a2.w2 = t.w2 JOIN f1 AS b1 ON b1.lang = t.lang AND b1.w1 = t.w3),
+scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
+
+ORACLES = {"op13_phrase_mining": _OP13, "op11_topk_search": _OP11, "op1_line_dedup": _OP1, "op5_exact_dedup": _OP5, "op6_mixing": _op6()}

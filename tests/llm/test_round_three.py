@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from routewatch.llm import conversation_repair as cr
-from routewatch.llm import queries, topk_search
+from routewatch.llm import phrase_mining, queries, topk_search
 from routewatch.llm.shared import table
 
 SF = "/root/testdata/sf0.001"
@@ -205,3 +205,64 @@ def test_bounds_spare_blocks():
         order = [i for i in np.lexsort((np.arange(2048), -all_scores)) if i != q][:20]
         assert list(places[rows == q]) == order and list(scores[rows == q]) == list(all_scores[order].astype(int))
         assert (bounds[q] >= all_scores[order[-1]]).sum() < 16
+
+
+# -- phrase mining
+
+def plain_phrases(rows, longest, least, share, first):
+    counts, total = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall("[^ \t]+", piece)
+            total[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts.setdefault(lang, Counter())[tuple(words[i:i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if 2 <= len(p) and a >= least}
+        covered = Counter()  # the most occurrences of a longer candidate around a phrase
+        for p, a in candidates.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    covered[p[i:i + k]] = max(covered[p[i:i + k]], a)
+        kept = []
+        for p, a in candidates.items():
+            if 100 * covered[p] >= share * a:
+                continue
+            score, _, left, right = min((10 ** 6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(kept)[:first], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("longest,least,share,first,chunk,bits", [(3, 10, 50, 2000, 8 << 20, 20), (3, 4, 50, 15, 900, 6), (5, 3, 80, 2000, 3000, 8), (2, 2, 50, 40, 200, 4)])
+def test_phrases_of_awkward_texts(spark, monkeypatch, longest, least, share, first, chunk, bits):
+    monkeypatch.setattr(phrase_mining, "CHUNK", chunk)
+    monkeypatch.setattr(phrase_mining, "BUCKET_BITS", bits)
+    r = random.Random(least)
+    words = ["a", "the", "Ü", "é", "x1", "B", "c-d", "\x00", "'", "und", "zz", "日本"]
+    phrase = "the quick Brown fox"
+    texts = [" ".join(r.choice(words + [phrase, ".", ",\t", "\r\n", "!?", "  "]) for _ in range(r.randint(0, 80))) for _ in range(90)]
+    texts += [None, "", "  ", ".", "....", "a " * 3000, "the quick brown fox\x0bjumps"] * 2
+    rows = [(r.choice(["en", "de", None, "und", ""]), t) for t in texts]
+    schema = "lang string, text string, doc_id long, chunk long, word string, kind string, gid long, salt int"
+    df = spark.createDataFrame([(lang, t, 1, 2, "clash", "clash", 3, 4) for lang, t in rows], schema).repartition(4)
+    got = phrase_mining.collocations(df, longest, least, share, first)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == plain_phrases(rows, longest, least, share, first)
+    assert phrase_mining.collocations(df.limit(0), longest, least, share, first).count() == 0
+
+
+def test_phrases_of_the_tables(spark):
+    rows = [tuple(r) for r in table(spark, SF, "documents").select("lang", "text").collect()]
+    assert sorted(map(tuple, queries.op13_phrase_mining(spark, SF).collect())) == plain_phrases(rows, 3, 10, 50, 2000)
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 9_000_000_000
+    row = [(1, "en", "a b", big, 2, 3, [big + 1, big], [big + 5, big])]
+    got = phrase_mining._scored(spark.createDataFrame(row, "gid long, lang string, phrase string, f long, a long, b long, heads array<long>, tails array<long>"), 2).collect()
+    assert [(r.l, r.r, r.score) for r in got] == [(big + 1, big + 5, 10 ** 6 * big * big // ((big + 1) * (big + 5)))]
