@@ -15,7 +15,7 @@ from routewatch.plans.classify import classify, remembered_origins, with_histori
 from routewatch.session import cut
 from routewatch.streaming.classifier import classify_stream
 from routewatch.streaming.enrich import enrich, start_enrich
-from routewatch.streaming.tracker import Session, Sessions, Tracker
+from routewatch.streaming.prefix_state import PrefixState
 
 SCHEMA = ("update_id long, ts long, prefix string, host string, peer string, is_withdrawal boolean, origin_asn long, "
           "path_str string, path_len int, comm_str string, source string, lat double, lon double, city string, country string")
@@ -103,16 +103,6 @@ def test_outage_check_and_recovery(spark):
         "source = 'timer'").count()
 
 
-def test_sessions_are_all_kept():
-    t = Tracker()
-    row = dict(prefix="5.5.5.0/24", origin_asn=1, path_str="1", path_len=1, historical_asn=0, remember=False, rpki_status=3,
-               is_bogon=False, leak=None, blackhole=False, source="t", lat=0, lon=0, city=None, country=None,
-               o_org=None, o_brand=0, o_kin=None, h_org=None, h_brand=0, h_kin=None)
-    for i, (ts, w) in enumerate([(1, False), (2, True), (3, False)]):
-        t.update({**row, "ts": ts, "update_id": i, "host": f"h{i}", "peer": "p", "is_withdrawal": w})
-    assert sorted(t.sessions) == ["h0:p", "h1:p", "h2:p"]
-
-
 @pytest.fixture(scope="module")
 def case(spark, sf):
     u, dims = X.load(spark, sf, "updates").drop("pid"), X.dims(spark, sf)
@@ -150,42 +140,124 @@ def test_enriched_stream_equals_replay(spark, case):
     assert replay([r.asDict(recursive=True) for r in rich.collect()]) == expected
 
 
-def test_stream_equals_replay(spark, case):
-    _, _, rich, expected = case
-    folder = tempfile.mkdtemp(prefix="routewatch-stream-")
-    for part, low, high in ((0, 0, 1704069000), (1, 1704069000, 1704072500), (2, 1704072500, 1 << 40)):
-        rich.filter((F.col("ts") >= low) & (F.col("ts") < high)).drop("event_time").coalesce(1).write.parquet(
-            f"{folder}/in/p{part}")
-    end = rich.agg(F.max("ts")).first()[0]
-    # a last update an hour later moves the watermark past all open checks
-    tail = rich.drop("event_time").limit(1).withColumns({
-        "prefix": F.lit("199.0.0.0/24"), "ts": F.lit(end + 3600), "update_id": F.lit(-1).cast("long")})
-    tail.write.parquet(f"{folder}/in/p9")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(rich.drop("event_time").schema).option("maxFilesPerTrigger", 1).option(
-        "recursiveFileLookup", "true").parquet(f"{folder}/in")
-    q = (classify_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out")
+def arrivals(rich, folder, files, rng):
+    """Files of rows that arrive up to 590 seconds late, some twice; and one of a prefix an hour after all others."""
+    rows = [(r.ts + rng.randrange(591), rng.random(), r) for r in rich.collect()]
+    rows += [(at + 1 + rng.randrange(5), x, r) for at, x, r in rows if x < 0.1 and at < r.ts + 580]
+    rows.sort(key=lambda r: r[:2])
+    size = -(-len(rows) // files)
+    spark, schema = rich.sparkSession, rich.schema
+    for i in range(files):
+        spark.createDataFrame([r[2] for r in rows[i * size:(i + 1) * size]], schema).coalesce(1).write.parquet(f"{folder}/in/p{i}")
+    end = max(r[2].ts for r in rows)
+    return rich.limit(1).withColumns({"prefix": F.lit("199.0.0.0/24"), "ts": F.lit(end + 9000), "event_time": F.timestamp_seconds(F.lit(end + 9000)),
+                                      "update_id": F.lit(-1).cast("long")})
+
+
+def tails(last, folder):
+    """Three more micro-batches: one moves the watermark, one runs the timers, and one those that were set meanwhile."""
+    for i in range(3):
+        last.withColumn("update_id", F.lit(-1 - i).cast("long")).coalesce(1).write.parquet(f"{folder}/in/q{i}")
+
+
+def run_stream(spark, schema, folder, **options):
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    q = (classify_stream(s, **options).writeStream.format("parquet").option("path", f"{folder}/out")
          .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(240)
+    q.awaitTermination(600)
     assert q.exception() is None and not q.isActive
-    got = sorted(str(tuple(r[c] for c in COLS)) for r in spark.read.parquet(f"{folder}/out").filter(
-        "prefix <> '199.0.0.0/24'").collect())
-    assert got == expected
+    return spark.read.parquet(f"{folder}/out").filter("prefix <> '199.0.0.0/24'")
+
+
+def test_stream_of_late_rows_equals_replay(spark, case):
+    """Rows out of order and twice over several micro-batches, with a restart in between; sessions leave the state."""
+    _, _, rich, expected = case
+    folder = tempfile.mkdtemp(prefix="routewatch-stream-")
+    last = arrivals(rich, folder, 4, random.Random(7))
+    run_stream(spark, rich.schema, folder)
+    tails(last, folder)
+    events = run_stream(spark, rich.schema, folder)
+    assert batch_rows(events) == expected
+    assert {"event_time", "leak_detail", "anomaly_details"} <= set(events.columns)
+    known = {(r.key.prefix, r.user_map_key.host, r.user_map_key.peer): r.user_map_value for r in state_of(spark, folder, "sessions", flat=True)}
+    end, sessions = rich.agg(F.max("ts")).first()[0], {}
+    for r in sorted(rich.collect(), key=lambda r: (r.ts, r.update_id)):
+        sessions[r.prefix, r.host, r.peer] = r.is_withdrawal
+    # more than an hour has passed since the last withdrawal: only active sessions are left
+    assert end and set(known) == {k for k, down in sessions.items() if not down}
+
+
+def state_of(spark, folder, name, flat=False):
+    reader = spark.read.format("statestore").option("path", f"{folder}/ckpt").option("stateVarName", name)
+    return (reader.option("flattenCollectionTypes", "true") if flat else reader).load().collect()
+
+
+def test_idle_prefixes_are_forgotten(spark):
+    rows = [(1000, "h1", "p1", False, 100), (1005, "h2", "p2", False, 100), (1400, "h1", "p1", True, 0), (1410, "h2", "p2", True, 0)]
+    u = make(spark, "6.6.6.0/24", rows).unionByName(make(spark, "7.7.7.0/24", rows[:3]).withColumn("update_id", F.col("update_id") + 100))
+    flags = cut(as_flags(spark.createDataFrame([], "asn long, heg_v4 double, heg_v6 double, pop_pct double, pop_users long")))
+    rich = cut(enrich(u, {}, cut(provider_edges(u, flags)), flags))
+    folder = tempfile.mkdtemp(prefix="routewatch-idle-")
+    last = arrivals(rich, folder, 1, random.Random(1))
+    tails(last, folder)
+    got = run_stream(spark, rich.schema, folder, idle=3600)
+    assert batch_rows(got) == batch_rows(classify(u, {}))
+    assert {r.key.prefix for r in state_of(spark, folder, "counts")} == {"7.7.7.0/24"}  # its session h2 is still active
+    for name in ("sessions", "hosts", "behind", "origins", "leaving", "life"):
+        assert "6.6.6.0/24" not in {r.key.prefix for r in state_of(spark, folder, name)}
+
+
+class Kept(dict):
+    """A state variable in memory."""
+
+    def getValue(self, key):
+        return super().get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    containsKey = dict.__contains__
+
+    def get(self):
+        return super().get("value")
+
+    def update(self, value):
+        self["value"] = value
+
+
+class Handle:
+    def getMapState(self, name, key, value):
+        return Kept()
+
+    getValueState = getMapState
+
+    def __getattr__(self, name):
+        raise AttributeError(name)
 
 
 def test_running_session_counts():
-    """Counts kept from update to update are those of the sessions there are."""
-    r, sessions = random.Random(3), Sessions()
-    for ts in range(3000):
-        host, origin, down = f"h{r.randrange(4)}", r.randrange(3), r.random() < 0.4
-        sessions.put(f"{host}:{r.randrange(3)}", Session("p", 1, origin, ts, host, down))
-        if r.random() < 0.05:
-            before = ts - r.randrange(200)
-            left = {k for k, s in sessions.items() if not (s.down and s.seen < before)}
-            sessions.forget(before)
-            assert set(sessions) == left
-        up = [s for s in sessions.values() if not s.down]
-        assert sessions.active == len(up)
-        assert sessions.hosts == Counter(s.host for s in up) and sessions.all_hosts == Counter(s.host for s in sessions.values())
-        assert sessions.behind == {o: Counter(s.host for s in up if s.origin == o) for o in {s.origin for s in up}}
+    """Counts kept from update to update are those of the sessions there are, also after they were stored and read back."""
+    handle = Handle()
+    handle.getValueState = lambda name, ddl: Kept()
+    r, state, sessions = random.Random(3), PrefixState(handle), {}
+    state.load()
+    for ts in range(0, 30_000, 10):
+        host, peer, origin, down = f"h{r.randrange(4)}", f"p{r.randrange(3)}", r.randrange(3), r.random() < 0.4
+        state.forget(ts)
+        sessions = {k: s for k, s in sessions.items() if not (s[1] and s[2] < ts - 3600)}
+        state.take(ts, host, peer, down, "p", 1, origin)
+        before = sessions.get((host, peer), (0,))
+        sessions[host, peer] = (before[0] if down else origin, down, ts)
+        if r.random() < 0.2:
+            state.store()
+            state.load()
+        up = {k: s for k, s in sessions.items() if not s[1]}
+        assert (state.active, state.n_sessions) == (len(up), len(sessions)) and set(state.sessions) == set(sessions)
+        assert (state.n_hosts, state.n_all_hosts) == (len({h for h, _ in up}), len({h for h, _ in sessions}))
+        for o in range(3):
+            assert state.hosts_behind(o) == len({h for (h, _), s in up.items() if s[0] == o})
+    state.forget(100_000)
+    assert {h for (h, _) in state.sessions} == {h for (h, _), s in sessions.items() if not s[1]}
