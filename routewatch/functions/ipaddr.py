@@ -1,7 +1,7 @@
 """IP prefixes as columns.
 
-An address is held as text of its bits (32 for IPv4, 128 for IPv6). The first n bits of that text
-are the key of its n-bit network, for both families and any n, so no 128-bit type is needed.
+An address is two longs of 64 bits each, ``a`` and ``b``, read from the left: an IPv4 address fills the upper half
+of ``a``, an IPv6 address both. The network of n bits is what a mask leaves of them, for both families and any n.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,37 +18,53 @@ def let(value: Column, body) -> Column:
 def ipv4_to_long(addr) -> Column:
     """Dotted IPv4 address as a long; 0 when it is not one."""
     addr = F.col(addr) if isinstance(addr, str) else addr
-    zero = F.lit(0).cast("long")
-    return F.coalesce(F.conv(_v4_bits(addr), 2, 10).cast("long"), zero)
+    return F.coalesce(_v4_number(addr), F.lit(0).cast("long"))
 
 
-def _v4_bits(addr: Column) -> Column:
-    """32 bits; null unless it is four octets."""
-    octets = F.transform(F.split(addr, r"\."), lambda o: F.lpad(F.bin(o.try_cast("long")), 8, "0"))
-    text = F.array_join(octets, "")
-    return F.when(addr.rlike(V4_PATTERN) & (F.length(text) == 32) & ~addr.rlike(
-        r"(^|\.)(2(5[6-9]|[6-9]\d)|[3-9]\d\d)(\.|$)"), text)
+def _v4_number(addr: Column) -> Column:
+    """The address as a number; null unless it is four octets."""
+    octets = F.transform(F.split(addr, r"\."), lambda o: o.try_cast("long"))
+    zero = F.lit(0).cast("long")
+    valid = addr.rlike(V4_PATTERN) & F.forall(octets, lambda o: o <= 255)
+    return F.when(valid, F.aggregate(octets, zero, lambda so_far, o: so_far * 256 + o))
 
 
-def _v6_bits(addr: Column) -> Column:
-    """128 bits; null unless it is eight groups, where one ``::`` stands for the missing ones."""
+def _v6_halves(addr: Column) -> Column:
+    """struct(a, b); null unless it is eight groups, where one ``::`` stands for the missing ones."""
+    short = F.instr(addr, "::") > 0
     given = F.size(F.filter(F.split(addr, ":"), lambda g: g != ""))
-    zeros = F.when(given < 8, F.repeat(F.lit("0:"), F.lit(8) - given))
-    groups = F.split(F.replace(addr, F.lit("::"), F.concat(F.lit(":"), zeros)), ":")
-    bits = F.transform(F.filter(groups, lambda g: g != ""), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0"))
-    full = F.when(F.instr(addr, "::") > 0, F.array_join(bits, "")).otherwise(F.array_join(F.transform(
-        F.split(addr, ":"), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
-    return F.when(addr.rlike(V6_PATTERN) & (F.length(full) == 128), full)
+    zeros = F.when(given < 8, F.repeat(F.lit("0:"), F.lit(8) - given)).otherwise("")
+    full = F.when(short, F.replace(addr, F.lit("::"), F.concat(F.lit(":"), zeros))).otherwise(addr)
+    groups = F.transform(F.filter(F.split(full, ":"), lambda g: (g != "") | ~short), lambda g: F.conv(g, 16, 10).cast("long"))
+    zero = F.lit(0).cast("long")
+    half = lambda g, first: F.aggregate(F.slice(g, first, 4), zero, lambda so_far, x: F.shiftleft(so_far, 16).bitwiseOR(x))
+    valid = addr.rlike(V6_PATTERN) & (F.size(groups) == 8)
+    halves = let(groups, lambda g: F.struct(half(g, 1).alias("a"), half(g, 5).alias("b")))
+    return F.when(valid, F.when(halves["a"].isNotNull() & halves["b"].isNotNull(), halves))
+
 
+def address(addr: Column) -> Column:
+    """struct(family, a, b) of an IPv4 or IPv6 address; null when it is neither."""
+    v4 = _v4_number(addr)
+    wide = lambda n: F.when(n.isNotNull(), F.struct(F.lit(4).alias("family"), F.shiftleft(n, 32).alias("a"), F.lit(0).cast("long").alias("b")))
+    long = lambda h: F.when(h.isNotNull(), F.struct(F.lit(6).alias("family"), h["a"].alias("a"), h["b"].alias("b")))
+    return F.when(F.instr(addr, ":") > 0, let(_v6_halves(addr), long)).otherwise(let(v4, wide))
 
-def addr_bits(addr: Column) -> Column:
-    """Bits of an IPv4 or IPv6 address; null when it is neither."""
-    return F.when(F.instr(addr, ":") > 0, _v6_bits(addr)).otherwise(_v4_bits(addr))
 
+def _ones(n: Column) -> Column:
+    """A long whose first n bits are set, n from 0 to 64."""
+    return F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(64) - F.least(n, F.lit(64))))
 
-def net_key(bits: Column, length: Column) -> Column:
-    """Key of the network of the first ``length`` bits."""
-    return F.substr(bits, F.lit(1), length)
+
+def network(a: Column, b: Column, length: Column) -> tuple[Column, Column]:
+    """Both halves of the network of the first ``length`` bits."""
+    return a.bitwiseAND(_ones(length)), b.bitwiseAND(_ones(length - 64))
+
+
+def in_network(a: Column, b: Column, other_a: Column, other_b: Column, length: Column) -> Column:
+    """Whether two addresses of one family have the first ``length`` bits in common."""
+    x, y = network(a.bitwiseXOR(other_a), b.bitwiseXOR(other_b), length)
+    return (x == 0) & (y == 0)
 
 
 def is_ipv4(prefix) -> Column:
@@ -70,28 +86,27 @@ def ipv4_size(prefix) -> Column:
 
 
 def _prefix_facts(prefix: Column) -> Column:
-    """struct(bits, len) of an ``address/length`` text; null when malformed."""
+    """struct(address, len) of an ``address/length`` text; null when malformed."""
     both = F.struct(
-        addr_bits(F.split_part(prefix, F.lit("/"), F.lit(1))).alias("bits"),
+        address(F.split_part(prefix, F.lit("/"), F.lit(1))).alias("address"),
         F.regexp_extract(prefix, r"^[^/]*/(\d{1,3})$", 1).try_cast("int").alias("len"))
-    return let(both, lambda p: F.when(p["len"] <= F.length(p["bits"]), p))
+    return let(both, lambda p: F.when(p["len"] <= F.when(p["address"]["family"] == 4, 32).when(p["address"].isNotNull(), 128), p))
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Columns family, len, bits, net_key, size, lo, hi from the parsed struct ``_facts``."""
-    v4 = F.length("bits") == 32
-    df = df.select("*", "_facts.bits", "_facts.len").drop("_facts")
-    df = df.withColumns({
-        "family": F.when(v4, 4).when(F.col("bits").isNotNull(), 6),
-        "net_key": net_key(F.col("bits"), F.col("len"))})
+    """Columns family, len, a, b, net_a, net_b, size, lo, hi from the parsed struct ``_facts``."""
+    df = df.select("*", "_facts.address.family", "_facts.address.a", "_facts.address.b", "_facts.len").drop("_facts")
+    net_a, net_b = network(F.col("a"), F.col("b"), F.col("len"))
+    v4 = F.col("family") == 4
+    df = df.withColumns({"net_a": net_a, "net_b": net_b})
     df = df.withColumns({
-        "size": F.when(v4, F.pow(F.lit(2), F.lit(32) - F.col("len")).cast("long")),
-        "lo": F.when(v4, F.conv(F.rpad("net_key", 32, "0"), 2, 10).cast("long"))})
+        "size": F.when(v4, F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - F.col("len"))),
+        "lo": F.when(v4, F.shiftrightunsigned("net_a", 32))})
     return df.withColumn("hi", F.col("lo") + F.col("size") - 1)
 
 
 def with_prefix_cols(df: DataFrame, col="prefix") -> DataFrame:
-    """Add family (4/6), len, bits, net_key, and for IPv4 size, lo, hi; null if malformed."""
+    """Add family (4/6), len, the address (a, b) and its network (net_a, net_b), and for IPv4 size, lo, hi; null if malformed."""
     return _spread(df.withColumn("_facts", _prefix_facts(F.col(col))))
 
 

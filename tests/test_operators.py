@@ -29,10 +29,12 @@ def test_prefix_parser_agrees_with_ipaddress(spark):
     for r in rows:
         try:
             i = ipaddress.ip_interface(r.prefix)
-            want = (i.version, i.network.prefixlen, bin(int(i.ip))[2:].zfill(i.max_prefixlen)) if "/" in r.prefix else (None,) * 3
+            signed = lambda n: n - (1 << 64) if n >> 63 else n
+            halves = lambda ip: tuple(map(signed, divmod(int(ip) << (96 if i.version == 4 else 0), 1 << 64)))
+            want = (i.version, i.network.prefixlen, *halves(i.ip), *halves(i.network.network_address)) if "/" in r.prefix else (None,) * 6
         except ValueError:
-            want = (None,) * 3
-        assert (r.family, r.len, r.bits) == want, r.prefix
+            want = (None,) * 6
+        assert (r.family, r.len, r.a, r.b, r.net_a, r.net_b) == want, r.prefix
 
 
 def test_prefix_size_ignores_family(spark):
@@ -57,6 +59,28 @@ def test_longest_match_against_brute_force(spark):
         assert got[p] == (max(hits)[1] if hits else None)
 
 
+def test_covering_pairs_against_brute_force(spark):
+    """Nested networks of every length, some wider than a bucket, some repeated; all covers, not only the longest."""
+    rnd = random.Random(9)
+    v4 = [ipaddress.ip_network((rnd.getrandbits(32) & 0xC0FF0FFF | 0x0A000000, rnd.randint(0, 32)), strict=False) for _ in range(150)]
+    v6 = [ipaddress.ip_network((0x2001 << 112 | rnd.getrandbits(6) << 90 | rnd.getrandbits(4) << 60 | rnd.getrandbits(3), rnd.choice([0, 3, 16, 40, 48, 49, 64, 65, 100, 128])), strict=False)
+          for _ in range(150)]
+    nets = sorted({str(n) for n in v4 + v6})
+    table = [(n, i) for i, n in enumerate(nets)] + [(n, -1) for n in nets[::7]] + [("bad/1", 0), (None, 0)]
+    left = spark.createDataFrame([(n,) for n in nets] + [("x",), (None,)], "prefix string")
+    right = spark.createDataFrame(table, "prefix string, v int")
+    parsed = [(ipaddress.ip_network(n), n, v) for n, v in table if n and n != "bad/1"]
+    for within in (True, False):
+        got = sorted((r.prefix, r.cover, r.v) for r in prefix_join.covering_pairs(left, right, ["v"], within=within).collect())
+        want = []
+        for p in map(ipaddress.ip_network, nets):
+            want += [(str(p), n, v) for q, n, v in parsed if q.version == p.version and p.network_address in q and (not within or q.prefixlen <= p.prefixlen)]
+        assert got == sorted(want)
+    ranked = spark.createDataFrame([("10.0.0.0/8", 1, 1), ("10.1.0.0/16", 2, 0), ("0.0.0.0/0", 3, 2)], "net string, v int, rank int")
+    found = prefix_join.lpm_join(spark.createDataFrame([("10.1.2.3",), ("10.9.0.0/16",), ("11.0.0.1",)], "p string"), "p", ranked, ["v"], "net", "rank")
+    assert {r.p: (r.v, r.match_len) for r in found.collect()} == {"10.1.2.3": (2, 16), "10.9.0.0/16": (1, 8), "11.0.0.1": (3, 0)}
+
+
 def test_coverage_against_brute_force(spark):
     rnd = random.Random(3)
     nets = [ipaddress.ip_network((rnd.getrandbits(12) << 20, rnd.randint(5, 28)), strict=False) for _ in range(60)] + [
