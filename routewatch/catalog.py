@@ -1,5 +1,7 @@
 """The registered queries: one per operator, with the SQL that states its result."""
 
+import functools
+
 from pyspark.sql import Window, functions as F
 
 from . import constants as K
@@ -12,9 +14,9 @@ from .plans import alerts as AL
 from .plans import classify as CL
 from .plans import incidents as IN
 from .plans import summary as SU
-from .session import cut
+from .session import cut, shared_path
 from .sources import dims as DI
-from .sources import feeds
+from .sources import feeds, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -690,6 +692,21 @@ def summary_row(spark, d):
     return SU.summary(state_of(spark, d), SU.flap_events(e), e, dims(spark, d), last_ts(spark, d), START)
 
 
+def listed(df, column, *fields):
+    """The rows of a nested column."""
+    return df.select(F.inline(column)).select(*fields)
+
+
+@query("a12_summary_listed", sql(["classified"], "SELECT * FROM sc", SUMMARY_CTES))
+def a12_listed(spark, d):
+    return listed(summary_row(spark, d), "classification_counts", "*").withColumn("messages_per_second", r6("messages_per_second"))
+
+
+@query("a12_summary_flappiest", sql(["classified", "as_info"], "SELECT * FROM tf", ", ".join([FLAPS_SQL, STATE_SQL, NAME_SQL, TOPFLAP_SQL])))
+def a12_flappiest(spark, d):
+    return listed(summary_row(spark, d), "flappiest_network_stats", "asn", "flap_count", "prefix", r6("event_rate").alias("event_rate"), "network_name")
+
+
 DISPLAY_VALUES = _values([(c[0], c[2], c[4]) for c in K.CLASSES if c[0] in K.DISPLAY_CLASSES], "classification, name, priority")
 
 
@@ -787,6 +804,32 @@ def a23_asn(spark, d):
                     F.element_at("events", -1)["ts"].alias("last_ts"))
 
 
+ARCHIVE_SQL = """SELECT CAST(ts - ts % 86400 AS BIGINT) AS day, asn, prefix, ts, old_state, new_state, incident_id, leak_type, leaker_asn, victim_asn FROM tr"""
+
+
+def _transition_fields(entry):
+    return [f"{entry}.{c}" for c in ("ts", "old_state", "new_state", "incident_id")] + [f"{entry}.leak_detail.{c}" for c in ("leak_type", "leaker_asn", "victim_asn")]
+
+
+@query("a23_asn_archive_events", sql(["classified"], ARCHIVE_SQL, TRANS_SQL, recursive=True))
+def a23_asn_events(spark, d):
+    per = IN.asn_archive(trans(spark, d), load(spark, d, "as_info"))
+    return per.select("day", "asn", "prefix", F.explode("events").alias("e")).select("day", "asn", "prefix", *_transition_fields("e"))
+
+
+@query("a23_asn_day_events", sql(["classified", "as_info"], f"SELECT x.*, nm AS name FROM ({ARCHIVE_SQL}) x LEFT JOIN n2 ON n2.asn = x.asn", ", ".join([
+    TRANS_SQL, "n2 AS (SELECT asn, CASE WHEN org_name <> '' THEN org_name WHEN name <> '' THEN name ELSE org_name END AS nm FROM as_info)"]), recursive=True))
+def a23_asn_day(spark, d):
+    day = IN.asn_day(cut(IN.asn_archive(trans(spark, d), load(spark, d, "as_info"))))
+    per = day.select("day", "asn", "name", F.inline("prefixes"))
+    return per.select("day", "asn", "name", "prefix", F.explode("events").alias("e")).select("day", "asn", "prefix", *_transition_fields("e"), "name")
+
+
+@query("a23_org_asns", sql(["classified", "as_info"], "SELECT DISTINCT org_name AS org, asn FROM classified JOIN as_info USING (asn) WHERE org_name <> ''"))
+def a23_org_asns(spark, d):
+    return IN.org_archive(load(spark, d, "classified"), load(spark, d, "as_info")).select("org", F.explode("asns").alias("asn"))
+
+
 @query("a23_org_archive", sql(["classified", "as_info"], "SELECT org_name AS org, count(DISTINCT asn) AS n_asns, count(*) AS event_count FROM classified JOIN as_info USING (asn) WHERE org_name <> '' GROUP BY 1"))
 def a23_org(spark, d):
     return IN.org_archive(load(spark, d, "classified"), load(spark, d, "as_info")).select("org", F.size("asns").cast("long").alias("n_asns"), "event_count")
@@ -908,6 +951,40 @@ def a22(spark, d):
     return day.select("date", "unique_asns", "unique_prefixes", "ipv4_count", F.size("top_alerts").cast("long").alias("n_alerts"))
 
 
+@query("a22_day_classes", sql(["classified"], f"SELECT {NOW} AS date, * FROM sc", SUMMARY_CTES))
+def a22_classes(spark, d):
+    table = AL.merge_alerts(None, AL.alerts(critical(spark, d), samples=False))
+    day = SU.day_summary(cut(summary_row(spark, d)), AL.recent_alerts(table, last_ts(spark, d)))
+    return day.select("date", F.inline("classification_counts")).withColumn("messages_per_second", r6("messages_per_second"))
+
+
+@query("s8_day_summary_file", sql(["classified", "roas"], f"SELECT {NOW} AS date, g.asn_count AS unique_asns, g.prefix_count AS unique_prefixes, r.* FROM ({GLOBAL_SQL} FROM st) g, ({RPKI_ROW_SQL}) r",
+    ", ".join([STATE_SQL, PS_SQL, ROA_SQL, RPKI_COUNT_SQL])))
+def s8(spark, d):
+    """The report written as JSON and read back."""
+    table = AL.merge_alerts(None, AL.alerts(critical(spark, d), samples=False))
+    day = SU.day_summary(cut(summary_row(spark, d)), AL.recent_alerts(table, last_ts(spark, d)))
+    path = shared_path(spark, "day-summary")
+    sinks.write_day_summary(day, path)
+    return spark.read.schema(day.schema).json(path).select(
+        "date", "unique_asns", "unique_prefixes", *[f"rpki_{n}_ipv{f}" for f in (4, 6) for n in ("valid", "invalid", "not_found")])
+
+
+@query("s3_load_dims", sql(["seen", "roas", "bogons", "as_info", "as_siblings"], """SELECT 'seen' AS name, prefix AS key, origin_asn AS value FROM seen UNION ALL SELECT 'roas', prefix, asn FROM roas
+ UNION ALL SELECT 'bogons', prefix, 0 FROM bogons UNION ALL SELECT 'as_info', org_name, asn FROM as_info UNION ALL SELECT 'as_siblings', CAST(asn1 AS STRING), asn2 FROM as_siblings"""))
+def s3(spark, d):
+    """The dimension tables written to a folder and loaded from it; one that is not there is None."""
+    path, made = shared_path(spark, "dims"), dims(spark, d)
+    for name in ("seen", "roas", "bogons", "as_info", "as_siblings"):
+        made[name].write.parquet(f"{path}/{name}.parquet")
+    got = DI.load_dims(spark, path)
+    assert got["geo"] is None
+    keys = {"seen": ("prefix", "origin_asn"), "roas": ("prefix", "asn"), "bogons": ("prefix", F.lit(0)), "as_info": ("org_name", "asn"), "as_siblings": ("asn1", "asn2")}
+    rows = [got[name].select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), (F.col(value) if isinstance(value, str) else value).cast("long").alias("value"))
+            for name, (key, value) in keys.items()]
+    return functools.reduce(lambda x, y: x.unionByName(y), rows)
+
+
 # ------------------------------------------------------------------ classification, end to end
 
 _EVENTS = {}

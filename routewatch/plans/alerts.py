@@ -11,6 +11,7 @@ from ..session import cut
 
 TICK_SECOND = 59  # alerts are evaluated at the last second of every minute
 GROUP = ["alert_type", "group_key", "classification"]
+FACTS = ["asn", "as_name", "city", "country"]
 SALTS = 16
 
 
@@ -22,13 +23,14 @@ def critical_events(events: DataFrame, as_info: DataFrame | None = None) -> Data
         rows = rows.join(names, "asn", "left")
     else:
         rows = rows.withColumns({"as_name": F.lit(None).cast("string"), "org_name": F.lit(None).cast("string")})
+    timed = [c for c in ("event_time",) if c in events.columns]
     return rows.select("update_id", "ts", "prefix", "city", "country", "asn", F.coalesce(
-        "as_name", F.lit("")).alias("as_name"), "org_name", "lat", "lon", "classification")
+        "as_name", F.lit("")).alias("as_name"), "org_name", "lat", "lon", "classification", *timed)
 
 
-def _grouped(critical: DataFrame) -> DataFrame:
+def grouped(critical: DataFrame) -> DataFrame:
     """One row per event and grouping it belongs to; empty countries and organisations have none."""
-    c = critical.withColumns({"lat_q": quantise("lat"), "lon_q": quantise("lon")})
+    c = critical if "lat_q" in critical.columns else critical.withColumns({"lat_q": quantise("lat"), "lon_q": quantise("lon")})
     text = lambda kind, name, key: F.when(key.isNotNull() & (key != ""), F.struct(
         F.lit(kind).alias("alert_type"), key.alias("group_key")))
     groups = F.array(
@@ -47,25 +49,25 @@ def _ticks(df: DataFrame) -> DataFrame:
         "recent", F.col("ts") >= F.col("tick") - K.ALERT_RECENT)
 
 
+def slot(ts):
+    """The second that stands for ``ts`` in the windows: the tick's second of its minute for itself, else the minute's first.
+
+    All other seconds of a minute lie in the same windows.
+    """
+    second = F.pmod(ts, F.lit(60))
+    return ts - F.when(second == TICK_SECOND, 0).otherwise(second)
+
+
 def alert_candidates(critical: DataFrame, now: int | None = None) -> DataFrame:
     """Measures of every (grouping, class, tick): counts, change, address space, score, places."""
-    facts = ["prefix", "asn", "as_name", "city", "country"]
-    # Count per fact and minute first, the tick's second apart: all other seconds of a minute lie in
-    # the same windows. A row reaches up to six ticks in four groupings.
-    second = F.pmod(F.col("ts"), F.lit(60))
-    slot = F.col("ts") - F.when(second == TICK_SECOND, 0).otherwise(second)
-    rows = _grouped(critical.withColumn("ts", slot)).groupBy(*GROUP, *facts, "ts").agg(
+    # Count per fact and minute first; a row reaches up to six ticks in four groupings.
+    rows = grouped(critical.withColumn("ts", slot(F.col("ts")))).groupBy(*GROUP, "prefix", *FACTS, "ts").agg(
         F.count("*").alias("n"), F.sum("lat").alias("slat"), F.sum("lon").alias("slon"))
     rows = _ticks(rows)
     if now is not None:
         rows = rows.filter(F.col("tick") == now)
-    by = [*GROUP, "tick"]
-    sizes = prefix_table(critical).select("prefix", "family", "size")
     states = minute_states(critical)
     # The running minute of a tick is the tick's own minute, else the state of the latest one.
-    per = rows.groupBy(*by, "prefix").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("recent"), F.col("n")).otherwise(0)).alias("n_recent"),
-        F.sum("slat").alias("slat"), F.sum("slon").alias("slon"))
     z = states.select("prefix", F.col("minute_ts").alias("_m"),
                       F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("var").alias("_var"))
     # last critical minute of the prefix up to the tick: within the window for recent prefixes
@@ -75,6 +77,14 @@ def alert_candidates(critical: DataFrame, now: int | None = None) -> DataFrame:
     scores = seen.join(z, ["prefix", "_m"]).select(
         "prefix", "tick", z_score(F.when(F.col("_m") + TICK_SECOND == F.col("tick"), F.col("_n").cast("double")).otherwise(
             F.lit(0.0)), F.col("_mean"), F.col("_var")).alias("z"))
+    return measures(rows.withColumn("n_recent", F.when(F.col("recent"), F.col("n")).otherwise(0)), scores)
+
+
+def measures(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Candidates from counts (n, n_recent, slat, slon) by grouping, class, tick, prefix and ``FACTS``, and scores z by prefix and tick."""
+    by = [*GROUP, "tick"]
+    sizes = prefix_table(rows).select("prefix", "family", "size")
+    per = rows.groupBy(*by, "prefix").agg(*[F.sum(c).alias(c) for c in ("n", "n_recent", "slat", "slon")])
     per = per.join(sizes, "prefix", "left").join(scores, ["prefix", "tick"], "left")
     main = per.groupBy(*by).agg(
         F.sum("n").alias("events_count"), F.sum("n_recent").alias("_recent"),
@@ -99,7 +109,7 @@ def top_value(rows: DataFrame, by, col, out, weight="n") -> DataFrame:
     return n.groupBy(*by).agg(F.min_by(col, F.struct(-F.col("_w"), F.col(col))).alias(out))
 
 
-def _passing(cand: DataFrame) -> DataFrame:
+def passing(cand: DataFrame) -> DataFrame:
     """Candidates over the thresholds of their type, with cooldown key and place."""
     rule = F.lit(False)
     for kind, _, v4, v6, pct in K.ALERT_RULES:
@@ -121,9 +131,19 @@ def alerts(critical: DataFrame, now: int | None = None, samples=True) -> DataFra
 
     Two classes of one key share the cooldown; the higher score goes first.
     """
-    cand = cut(_passing(alert_candidates(critical, now)))
+    cand = cut(passing(alert_candidates(critical, now)))
+    out = shown(cooled(cand))
+    return with_samples(cut(out), critical) if samples else out
+
+
+def cooled(cand: DataFrame) -> DataFrame:
+    """Candidates at least 300 s after the last one kept of their cooldown key."""
     cand = cand.withColumn("_neg", -F.col("anomaly_score"))
-    kept = rate_limit(cand, ["cooldown_key"], K.ALERT_COOLDOWN, ("tick", "_neg", "classification"), ts="tick")
+    return rate_limit(cand, ["cooldown_key"], K.ALERT_COOLDOWN, ("tick", "_neg", "classification"), ts="tick")
+
+
+def shown(kept: DataFrame) -> DataFrame:
+    """The two best of each type and tick, as alerts."""
     best = Window.partitionBy("tick", "alert_type").orderBy(F.desc("anomaly_score"), "group_key", "classification")
     top = kept.withColumn("_r", F.row_number().over(best)).filter("_r <= 2")
     kind = F.col("alert_type")
@@ -138,27 +158,37 @@ def alerts(critical: DataFrame, now: int | None = None, samples=True) -> DataFra
         F.when(kind == 2, F.lit(1)).otherwise(F.col("asn_count")).cast("long").alias("asn_count"),
         "events_count", "delta", "impacted_ipv4_ips", "impacted_ipv6_prefixes", "percentage_increase",
         "anomaly_score")
-    return with_samples(cut(out), critical) if samples else out
+    return out
 
 
 def with_samples(alerts_df: DataFrame, critical: DataFrame) -> DataFrame:
     """Add the five newest events of each alert's window, newest first.
 
-    The rows of a group are numbered per salt first, so that a large group is not sorted at once.
+    Only events in the windows of alerts are looked at. The rows of a group are numbered per salt first, so
+    that a large group is not sorted at once.
     """
+    first = F.col("timestamp") - K.ALERT_WINDOW
+    # the minutes of the alerts' windows, so that events meet them before they are dealt to groupings
+    minutes = alerts_df.select(F.explode(F.sequence(F.floor(first / 60), F.floor(F.col("timestamp") / 60))).alias("_m")).distinct()
+    near = critical.withColumn("_m", F.floor(F.col("ts") / 60)).join(minutes, "_m", "left_semi").drop("_m")
+    rows = _ticks(grouped(near)).withColumnRenamed("tick", "timestamp")
+    by = [*GROUP, "timestamp"]
+    rows = rows.join(alerts_df.select(*by), by, "left_semi")
+    return alerts_df.join(newest_events(rows), by, "left")
+
+
+def newest_events(rows: DataFrame) -> DataFrame:
+    """The five newest events of each grouping, class and ``timestamp``, newest first, as ``sample_events``."""
+    by = [*GROUP, "timestamp"]
     entry = F.struct("ts", "update_id", "prefix", "asn", "as_name", "lat", "lon", "city", "country",
                      F.col("classification").alias("new_state"), F.lit(0).alias("old_state"),
                      F.coalesce("org_name", F.lit("")).alias("organization"))
-    rows = _ticks(_grouped(critical)).withColumnRenamed("tick", "timestamp")
-    by = [*GROUP, "timestamp"]
-    rows = rows.join(alerts_df.select(*by), by, "left_semi").select(
-        *by, "ts", "update_id", entry.alias("e"), F.pmod(F.xxhash64("update_id"), F.lit(SALTS)).alias("_s"))
+    rows = rows.select(*by, "ts", "update_id", entry.alias("e"), F.pmod(F.xxhash64("update_id"), F.lit(SALTS)).alias("_s"))
     newest = [F.desc("ts"), F.desc("update_id")]
     for parts in ([*by, "_s"], by):
         w = Window.partitionBy(*parts).orderBy(*newest)
         rows = rows.withColumn("_r", F.row_number().over(w)).filter("_r <= 5").drop("_r")
-    some = rows.groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list("e"))).alias("sample_events"))
-    return alerts_df.join(some, by, "left")
+    return rows.groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list("e"))).alias("sample_events"))
 
 
 def alert_key(df: DataFrame) -> DataFrame:

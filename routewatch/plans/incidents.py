@@ -19,9 +19,16 @@ def transitions(events: DataFrame, dims: dict | None = None, target_states=None)
 
     ``target_states`` keeps rows that enter or leave one of the classes.
     """
-    rows = events.filter((F.col("classification") != F.col("old_classification")) & F.col("incident_id").isNotNull())
-    rows = cut(rows.withColumn("_o", F.coalesce("update_id", F.lit(-1))))
-    rows = rate_limit(rows, ["prefix", "asn"], 300, ("ts", "_o"))
+    rows = cut(class_changes(events).withColumn("_o", F.coalesce("update_id", F.lit(-1))))
+    return transition_rows(rate_limit(rows, ["prefix", "asn"], 300, ("ts", "_o")), dims, target_states)
+
+
+def class_changes(events: DataFrame) -> DataFrame:
+    return events.filter((F.col("classification") != F.col("old_classification")) & F.col("incident_id").isNotNull())
+
+
+def transition_rows(rows: DataFrame, dims: dict | None = None, target_states=None) -> DataFrame:
+    """Rate-limited class changes as transitions, with names if ``dims`` has AS data."""
     if target_states:
         want = list(target_states)
         rows = rows.filter(F.col("classification").isin(want) | F.col("old_classification").isin(want))

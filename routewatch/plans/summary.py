@@ -156,7 +156,7 @@ def summary(state, flaps, events, dims, now: int, start: int, lag: DataFrame | N
         pieces.append(lag.agg(F.max("max_lag").alias("max_lag_seconds")))
     out = spark.range(1).select(F.lit(now).cast("long").alias("timestamp"))
     for p in pieces:  # one row each
-        out = out.crossJoin(F.broadcast(p.limit(1)))
+        out = out.crossJoin(F.broadcast(p))
     return out
 
 

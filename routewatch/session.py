@@ -1,6 +1,7 @@
 """Session and checkpoint settings."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,20 +24,30 @@ def get_spark(master="local[*]", shuffle_partitions=8, app="routewatch"):
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, the one ``cut`` writes to."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where a local
-    session names none (tests) a temporary folder is set; a cluster must name a shared one.
-    """
-    sc = df.sparkSession.sparkContext
+
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not sc.master.startswith("local"):
+            if sc.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="routewatch-ckpt-")
         sc.setCheckpointDir(shared)
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only where a local
+    session names none (tests) a temporary folder is set; a cluster must name a shared one.
+    """
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

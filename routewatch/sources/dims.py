@@ -1,6 +1,7 @@
 """Dimension tables and location look-up."""
 
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.prefix_join import lpm_join
@@ -22,9 +23,14 @@ def load_dims(spark, folder, fmt="parquet") -> dict:
     out = {}
     for name, schema in SCHEMAS.items():
         path = f"{folder}/{name}.{fmt}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        out[name] = spark.read.format(fmt).schema(schema).load(path) if there else None
+        try:
+            table = spark.read.format(fmt).schema(schema).load(path)
+            table.isEmpty()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            table = None
+        out[name] = table
     return out
 
 

@@ -1,5 +1,6 @@
 """Table sinks: appended events, replaced state tables, and the day report."""
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from ..plans.alerts import merge_alerts
@@ -9,20 +10,48 @@ from ..plans.summary import flap_events, merge_prefix_state, prefix_state, retai
 KEPT_VERSIONS = 3
 
 
-def _folder(spark, path):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def _files(path):
+    """The file system of a folder's path or URI, and the path in it."""
+    uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
+
+
+def _listed(path):
+    """Names of what is in a folder; none if there is no such folder."""
+    files, at = _files(path)
+    return [f.base_name for f in files.get_file_info(fs.FileSelector(at, allow_not_found=True))]
+
+
+def _removed(path):
+    files, at = _files(path)
+    files.delete_dir(at)
 
 
 def exists(spark, path):
-    fs, at = _folder(spark, path)
-    return fs.exists(at)
+    files, at = _files(path)
+    return files.get_file_info(at).type != fs.FileType.NotFound
 
 
 def _versions(spark, path):
     """Numbers of the table's complete versions, oldest first. What a failed write left does not count."""
-    fs, done = _folder(spark, f"{path}/v-*/_SUCCESS")
-    return sorted(int(f.getPath().getParent().getName()[2:]) for f in (fs.globStatus(done) or []))
+    return sorted(int(name[2:]) for name in _listed(path) if name.startswith("v-") and exists(spark, f"{path}/{name}/_SUCCESS"))
+
+
+def of_batch(spark, path, batch_id) -> DataFrame | None:
+    """What the last micro-batch before ``batch_id`` wrote to its folder of a table; None if there is none.
+
+    A micro-batch that runs again does not see its own rows. Folders no later batch can ask for are removed.
+    """
+    there = sorted(int(name[6:]) for name in _listed(path) if name.startswith("batch=") and exists(spark, f"{path}/{name}/_SUCCESS"))
+    before = [n for n in there if n < batch_id]
+    for old in before[:-KEPT_VERSIONS]:
+        _removed(f"{path}/batch={old}")
+    return spark.read.parquet(f"{path}/batch={before[-1]}") if before else None
+
+
+def drop_batch(path, batch):
+    """Remove what one micro-batch wrote to an appended table."""
+    _removed(f"{path}/batch={batch}")
 
 
 def _at(path, version):
@@ -45,8 +74,7 @@ def replace_table(df: DataFrame, path):
     there = _versions(spark, path)
     df.write.mode("overwrite").parquet(_at(path, there[-1] + 1 if there else 1))
     for old in there[:1 - KEPT_VERSIONS]:
-        fs, at = _folder(spark, _at(path, old))
-        fs.delete(at, True)
+        _removed(_at(path, old))
 
 
 def upsert_prefix_state(events: DataFrame, path):
@@ -54,6 +82,12 @@ def upsert_prefix_state(events: DataFrame, path):
     replace_table(new if old is None else merge_prefix_state(old, new), path)
 
 
+def upsert_totals(totals: DataFrame, path, keys):
+    """Running totals by key: a key's new row replaces the old one, so a repeated micro-batch changes nothing."""
+    old = read_table(totals.sparkSession, path)
+    replace_table(totals if old is None else old.join(totals.select(*keys), keys, "left_anti").unionByName(totals), path)
+
+
 def append_flap_events(events: DataFrame, path):
     flap_events(events).write.mode("append").parquet(path)
 
