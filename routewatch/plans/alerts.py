@@ -17,13 +17,17 @@ SALTS = 16
 
 def critical_events(events: DataFrame, as_info: DataFrame | None = None) -> DataFrame:
     """Events that feed the alert windows, with AS name and organisation."""
-    rows = events.filter(F.col("classification").isin(K.CRITICAL))
+    return named_events(events.filter(F.col("classification").isin(K.CRITICAL)), as_info)
+
+
+def named_events(rows: DataFrame, as_info: DataFrame | None = None) -> DataFrame:
+    """Critical events in the columns of ``critical_events``."""
     if as_info is not None:
         names = as_names(as_info).filter("asn <> 0").select("asn", "as_name", F.col("as_org").alias("org_name"))
         rows = rows.join(names, "asn", "left")
     else:
         rows = rows.withColumns({"as_name": F.lit(None).cast("string"), "org_name": F.lit(None).cast("string")})
-    timed = [c for c in ("event_time",) if c in events.columns]
+    timed = [c for c in ("event_time",) if c in rows.columns]
     return rows.select("update_id", "ts", "prefix", "city", "country", "asn", F.coalesce(
         "as_name", F.lit("")).alias("as_name"), "org_name", "lat", "lon", "classification", *timed)
 

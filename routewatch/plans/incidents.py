@@ -19,12 +19,13 @@ def transitions(events: DataFrame, dims: dict | None = None, target_states=None)
 
     ``target_states`` keeps rows that enter or leave one of the classes.
     """
-    rows = cut(class_changes(events).withColumn("_o", F.coalesce("update_id", F.lit(-1))))
+    rows = cut(events.filter(changes_class()).withColumn("_o", F.coalesce("update_id", F.lit(-1))))
     return transition_rows(rate_limit(rows, ["prefix", "asn"], 300, ("ts", "_o")), dims, target_states)
 
 
-def class_changes(events: DataFrame) -> DataFrame:
-    return events.filter((F.col("classification") != F.col("old_classification")) & F.col("incident_id").isNotNull())
+def changes_class():
+    """Whether an event's class changed while an incident is open."""
+    return (F.col("classification") != F.col("old_classification")) & F.col("incident_id").isNotNull()
 
 
 def transition_rows(rows: DataFrame, dims: dict | None = None, target_states=None) -> DataFrame:

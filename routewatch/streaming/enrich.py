@@ -65,6 +65,14 @@ def start_enrich(updates: DataFrame, dims: dict, root: str, checkpoint: str, **t
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def enriched_schema(updates: DataFrame, dims: dict):
+    """The schema of ``enrich`` for updates with the columns of a stream."""
+    spark = updates.sparkSession
+    flags = as_flags(spark.createDataFrame([], SCHEMAS["as_info"]))
+    edges = spark.createDataFrame([], "provider long, customer long, first_ts long")
+    return enrich(spark.createDataFrame([], updates.schema), dims, edges, flags).schema
+
+
 def enrich(updates: DataFrame, dims: dict, edges: DataFrame, flags: DataFrame) -> DataFrame:
     """One micro-batch of updates with bogon, known origin, RPKI, sibling and leak facts.
 
@@ -81,5 +89,5 @@ def enrich(updates: DataFrame, dims: dict, edges: DataFrame, flags: DataFrame) -
                                   F.col("brand").alias(f"{p}_brand"), F.col("kin").alias(f"{p}_kin")),
                      asn, "left")
     df = leak_patterns(df, updates, flags, edges=edges)
-    return df.withColumn("blackhole", is_blackhole(F.col("comm_str"))).withColumn(
-        "event_time", F.timestamp_seconds("ts"))
+    df = df.withColumn("blackhole", is_blackhole(F.col("comm_str")))
+    return df if "event_time" in updates.columns else df.withColumn("event_time", F.timestamp_seconds("ts"))

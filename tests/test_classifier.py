@@ -169,7 +169,7 @@ def run_stream(spark, schema, folder, **options):
     return spark.read.parquet(f"{folder}/out").filter("prefix <> '199.0.0.0/24'")
 
 
-def test_stream_of_late_rows_equals_replay(spark, case):
+def test_stream_of_late_rows_equals_replay(spark, case, few_partitions):
     """Rows out of order and twice over several micro-batches, with a restart in between; sessions leave the state."""
     _, _, rich, expected = case
     folder = tempfile.mkdtemp(prefix="routewatch-stream-")
@@ -192,7 +192,7 @@ def state_of(spark, folder, name, flat=False):
     return (reader.option("flattenCollectionTypes", "true") if flat else reader).load().collect()
 
 
-def test_idle_prefixes_are_forgotten(spark):
+def test_idle_prefixes_are_forgotten(spark, few_partitions):
     rows = [(1000, "h1", "p1", False, 100), (1005, "h2", "p2", False, 100), (1400, "h1", "p1", True, 0), (1410, "h2", "p2", True, 0)]
     u = make(spark, "6.6.6.0/24", rows).unionByName(make(spark, "7.7.7.0/24", rows[:3]).withColumn("update_id", F.col("update_id") + 100))
     flags = cut(as_flags(spark.createDataFrame([], "asn long, heg_v4 double, heg_v6 double, pop_pct double, pop_users long")))
