@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -10,14 +10,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round turns each node's neighbourhood into a star around its smallest member, first over
     the larger neighbours, then over the smaller ones; the number of rounds grows with the logarithm
-    of the nodes. Each round is written to the shared folder. No neighbourhood is collected: a round
+    of the nodes. Each round is written to the shared folder, and the one before removed. No neighbourhood is collected: a round
     is a minimum per node and a join. Null ends and loops are left out.
     """
     edges = written(_cleaned(edges), "stars")
     before = None
     while (now := _state(edges)) != before:
-        before = now
+        before, old = now, edges
         edges = written(_small(_large(edges)), "stars")
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 

@@ -128,11 +128,12 @@ def mix(docs: DataFrame, budget=None, weights=WEIGHTS, domains=DOMAINS, epochs=E
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as ``mix`` takes them; of repeated rows one."""
+    """The rows of ``docs``, all columns, as often as ``mix`` takes them; of rows repeated in doc_id, lang, source and text one,
+    that which reads least as JSON."""
     from .shared import one_of_each
 
     chosen = mix(docs, **options).groupBy("doc_id", "lang", "source", "text_md5").agg(F.count(F.lit(1)).cast("int").alias("times"))
     keys = {"doc_id": F.col("doc_id").cast("long"), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit("")),
             "text_md5": F.unhex(F.md5(whole_text(docs)))}
     found = one_of_each(docs, keys, chosen)
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy")).drop("__copy")
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__chosen_times"))).alias("__copy")).drop("__copy")

@@ -1,5 +1,7 @@
 """Helpers of the operators: whole texts, salts, the shared folder, and files written by tasks."""
 
+import functools
+import operator
 import tempfile
 import uuid
 
@@ -68,19 +70,17 @@ def one_of_each(docs: DataFrame, keys: dict[str, Column], chosen: DataFrame) ->
     """Rows of ``docs`` with a row in ``chosen`` (the key columns, each key once, and others), one row per key.
 
     ``keys`` says how a row of ``docs`` gets its key columns; nulls are equal. Rows of one key are
-    taken for copies: only where such exist are rows compared, and then combined in the map tasks.
-    The columns of ``docs`` come first, as they are, then the other columns of ``chosen``.
+    taken for copies: only where such exist are rows compared, and of those the one that reads least as
+    JSON stays. The columns of ``docs`` come first, as they are, then the other columns of
+    ``chosen`` as ``__chosen_<name>``.
     """
     chosen = written(chosen, "chosen")
-    named = {name: f"__key_{name}" for name in keys}
-    right = chosen.withColumnsRenamed(named)
+    right = chosen.withColumnsRenamed({name: f"__chosen_{name}" for name in chosen.columns})
     left = docs.withColumns({f"__own_{name}": column for name, column in keys.items()})
-    same = [F.col(f"__own_{name}").eqNullSafe(F.col(key)) for name, key in named.items()]
-    condition = same[0]
-    for other in same[1:]:
-        condition = condition & other
+    condition = functools.reduce(operator.and_, (F.col(f"__own_{name}").eqNullSafe(F.col(f"__chosen_{name}")) for name in keys))
     joined = left.join(right, condition)
-    own = [f"__own_{name}" for name in keys]
-    if not left.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        joined = joined.dropDuplicates(own)
-    return joined.select(*docs.columns, *[c for c in chosen.columns if c not in keys])
+    own, more = [f"__own_{name}" for name in keys], [f"__chosen_{c}" for c in chosen.columns if c not in keys]
+    if not left.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty():
+        least = F.min_by(F.struct(*docs.columns, *more), F.to_json(F.struct(*docs.columns)))
+        joined = joined.groupBy(*own).agg(least.alias("__row")).select("__row.*")
+    return joined.select(*docs.columns, *more)

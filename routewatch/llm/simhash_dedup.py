@@ -139,8 +139,8 @@ def near_groups(docs: DataFrame, shingle=3, seed=42) -> DataFrame:
 def one_per_group(docs: DataFrame, shingle=3, seed=42) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each component the row with the smallest doc_id.
 
-    If several rows have that doc_id, the one whose text has the smallest MD5 stays, once. Rows
-    without doc_id stay only where their whole component has none.
+    If several rows have that doc_id, the one whose text has the smallest MD5 stays, once; of rows with equal
+    doc_id and text but other columns, the one that reads least as JSON. Rows without doc_id stay only where their whole component has none.
     """
     groups = near_groups(docs, shingle, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_md5").alias("text_md5")).drop("root")

@@ -69,6 +69,7 @@ def test_warc_contract(spark):
 def test_pipeline_by_stages(spark, tmp_path):
     """Each stage on what the one before kept, against plain versions where there are such."""
     from test_llm_operators import plain_matches
+    from test_near_copies import plain_groups, stays
 
     docs = table(spark, SF, "documents")
     columns = docs.columns
@@ -83,8 +84,8 @@ def test_pipeline_by_stages(spark, tmp_path):
     assert {r[0] for r in rows[0]} - {r[0] for r in rows[1]} >= {d for d, q in quality.items() if q == 0 and zlib.crc32(str(d).encode()) % 3 != 1}
     clean = {d for d, q in quality.items() if q == 1}  # the held-out ones are judged by a model of some 60 labels here
     assert len(clean & {r[0] for r in rows[1]}) > 0.95 * len(clean)
-    groups = {r.doc_id: r.component_id for r in corpus_pipeline.simhash_dedup.near_groups(kept[1]).collect()}
-    assert Counter(r[0] for r in rows[2]) == Counter(set(groups.values()))
+    groups, _ = plain_groups([r[1] for r in rows[1]])
+    assert Counter(r[0] for r in rows[2]) == Counter(stays(rows[1], groups).values())
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     hit = {k[0] for k in plain_matches(rows[2], items)}
     assert Counter(r[0] for r in rows[3]) == Counter({r[0] for r in rows[2]} - hit)
@@ -97,4 +98,4 @@ def test_pipeline_by_stages(spark, tmp_path):
 
 
 def test_the_names_of_sources_match_no_other(spark):
-    assert all(re.fullmatch(r"op\d+_\w+", name) for name in queries.QUERIES) and len(queries.QUERIES) == 10
+    assert all(re.fullmatch(r"op\d+_\w+", name) for name in queries.QUERIES) and len(queries.QUERIES) == 13
