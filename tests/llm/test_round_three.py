@@ -266,3 +266,68 @@ def test_scores_beyond_64_bits(spark):
     row = [(1, "en", "a b", big, 2, 3, [big + 1, big], [big + 5, big])]
     got = phrase_mining._scored(spark.createDataFrame(row, "gid long, lang string, phrase string, f long, a long, b long, heads array<long>, tails array<long>"), 2).collect()
     assert [(r.l, r.r, r.score) for r in got] == [(big + 1, big + 5, 10 ** 6 * big * big // ((big + 1) * (big + 5)))]
+
+
+# -- token counts
+
+def test_long_texts_without_blanks_are_counted_in_line():
+    """A megabyte without blanks: cut points against the library, without a table of all prefixes."""
+    import public_tokenizers
+    from routewatch.llm import token_counts
+
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    for alphabet in ("abcdefgh", "aé日", "a1b2.", "-"):
+        text = "".join(r.choice(alphabet) for _ in range(1_000_000 // len(alphabet.encode())))
+        deltas = counter.deltas(text)
+        assert len(deltas) == len(text)
+        counts = np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)
+        for at in (1, 2, 50, 777, len(text) // 3, len(text)):
+            assert counts[at - 1] == len(counter.library.encode(text[:at], add_special_tokens=False).ids)
+
+
+def test_pairs_of_tokens_by_their_spines():
+    """Whether two tokens stay apart: against the merges of their bytes."""
+    import public_tokenizers
+    from routewatch.llm import token_counts
+
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def merged(data):
+        parts = [data[i:i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            ranks = [counter.ranks.get(p, token_counts.NONE) for p in zip(parts, parts[1:])]
+            if min(ranks) == token_counts.NONE:
+                break
+            at = ranks.index(min(ranks))
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    r = random.Random(6)
+    words = sorted(counter.vocabulary)
+    short = [w for w in words if len(w) <= 3]
+    for _ in range(20_000):
+        a, b = r.choice(r.choice((words, short))), r.choice(r.choice((words, short)))
+        assert counter.follows(a, b) == (merged(a + b) == [a, b]), (a, b)
+    for a in (b"a", b"aa", b"  ", b"\n\n", b"===="):
+        for n in range(1, 9):
+            assert counter.follows(a, a[:1] * n) == (merged(a + a[:1] * n) == [a, a[:1] * n])
+            assert counter.follows(b"", a[:1] * n) == (merged(a[:1] * n) == [a[:1] * n])
+
+
+# -- stages of the pipeline
+
+def test_stages_take_clashing_columns_and_repeated_rows(spark):
+    """Extra columns named like the stages' own, and rows of one doc_id and text under two languages: one stays, the least as JSON."""
+    from routewatch.llm import mixing, near_copies
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, times int, node long, root string, lead int, sketch string"
+    rows = [(1, "one two three four five six", "fr", "web", 1, 7, 8, "x", 9, "y"), (1, "one two three four five six", "de", "web", 1, 7, 8, "x", 9, "y"),
+            (2, "quite another text than that one", None, None, None, None, None, None, None, None), (None, None, "en", "web", 0, 1, 1, "", 1, "")]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    kept = near_copies.one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.lang) for r in kept.collect()) == [(0, "en"), (1, "de"), (2, None)]
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns
+    assert {(r.doc_id, r.lang, r.times) for r in mixed.collect()} <= {(r[0], r[2], r[5]) for r in rows}
