@@ -17,9 +17,10 @@ RESULT = [K.OUTAGE, K.ROUTE_LEAK, K.MINOR_LEAK, K.HIJACK]
 def transitions(events: DataFrame, dims: dict | None = None, target_states=None) -> DataFrame:
     """Rows whose class changed while an incident is open, at most one per (prefix, ASN) in 300 s.
 
-    ``target_states`` keeps rows that enter or leave one of the classes.
+    Of the rows of one second the smallest update_id goes first; an outage found by the timed check, which has none,
+    goes last. ``target_states`` keeps rows that enter or leave one of the classes.
     """
-    rows = cut(events.filter(changes_class()).withColumn("_o", F.coalesce("update_id", F.lit(-1))))
+    rows = cut(events.filter(changes_class()).withColumn("_o", F.coalesce("update_id", F.lit((1 << 63) - 1))))
     return transition_rows(rate_limit(rows, ["prefix", "asn"], 300, ("ts", "_o")), dims, target_states)
 
 

@@ -124,7 +124,7 @@ class ChangeProcessor(StatefulProcessor):
         self.last.update((now,))
         self.handle.registerTimer((now + 3601) * 1000)
         at = self.names.index("update_id")
-        first = min(map(_plain, held[0]), key=lambda r: -1 if r[at] is None else r[at])
+        first = min(map(_plain, held[0]), key=lambda r: (r[at] is None, r[at] or 0))
         return iter([Row(*self.names)(*first)])  # later ones of the second come too soon
 
 
