@@ -29,7 +29,7 @@ from .shared import file_system, shared_folder, whole_text
 
 END_ID = 1
 #: Whole words and their letters kept per Python worker; those that drop out are encoded again.
-KEPT_WORDS, KEPT_LETTERS = 50_000, 400_000
+KEPT_WORDS, KEPT_LETTERS, KEPT_MARKS = 150_000, 300_000, 10_000
 #: A word of Latin letters and marks behind it: the vocabulary's pattern parts them, and lower-cases letters one by one.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#&%$]*)")
 FRAME = 16
@@ -51,21 +51,26 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.id_bytes}"
+        self.kind = "H" if self.id_bytes == 2 else "I"
         self.words = Recent(KEPT_WORDS, self._word)
-        self.letters, self.marks = Recent(KEPT_LETTERS, self._letters), Recent(KEPT_WORDS, self._any)
+        self.letters, self.marks = Recent(KEPT_LETTERS, self._letters), Recent(KEPT_MARKS, self._any)
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.letters[word.lower()]
         plain = PLAIN.fullmatch(word)
         return self.letters[plain[1].lower()] + self.marks[plain[2]] if plain else self._any(word)
 
     def _letters(self, letters: str) -> bytes:
         """One pre-token of lower-case letters: the vocabulary's merges alone."""
         written = letters if letters.isascii() else "".join(map(LETTERS.__getitem__, letters.encode("utf-8")))
-        return np.array([t.id for t in self.library.model.tokenize(written)], self.kind).tobytes()
+        return self._packed([t.id for t in self.library.model.tokenize(written)])
 
     def _any(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
