@@ -29,7 +29,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compiled(spark: SparkSession) -> None:
+    """Set the largest method Spark generates to HotSpot's own limit, unless the session names one.
+
+    The long projections of these plans pass it; left at Spark's default of 65535 bytes they run interpreted, as
+    HotSpot compiles no method over 8000. Spark's documentation names this value for HotSpot.
+    """
+    if spark.conf.get(HUGE_METHOD, None) is None:
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
 def _shared(spark: SparkSession) -> str:
+    compiled(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
