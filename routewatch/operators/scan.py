@@ -13,14 +13,19 @@ from ..session import cut, small
 
 SLICE, CHUNK = "_slice", "_chunk"
 SLICE_STEPS = 10        # slices of 60 * 2^k seconds, k = 0..10
+SLICES = 8              # a slice holds at most this part of the rows that make a key hot
 
 
-def find_hot(df: DataFrame, key="prefix", target_rows=2_000_000):
+def find_hot(df: DataFrame, key="prefix", target_rows=2_000_000, slice_rows=None):
     """Keys with more than ``target_rows`` rows and the slice length each is cut with.
 
+    A slice is the longest with at most ``slice_rows`` rows (an eighth of ``target_rows`` if not given), or a minute: with
+    slices as large as the keys that stay whole, a key just over the limit would be two tasks.
+
     At most (all rows / target_rows) keys can be hot. Returns None when there are none. Counts
     are partial per minute, so nothing but (key, minute, n) is shuffled.
     """
+    slice_rows = slice_rows or target_rows // SLICES
     per_min = df.groupBy(key, F.floor(F.col("ts") / 60).alias("m")).agg(F.count("*").alias("n"))
     big = per_min.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") > target_rows).select(key)
     sized = per_min.join(big, key).select(
@@ -29,7 +34,7 @@ def find_hot(df: DataFrame, key="prefix", target_rows=2_000_000):
         F.sum("n").alias("n"))
     fits = sized.groupBy(key, "k").agg(F.max("n").alias("peak"))
     hot = fits.groupBy(key).agg(
-        F.coalesce(F.max(F.when(F.col("peak") <= target_rows, F.col("k"))), F.lit(0)).alias("k"))
+        F.coalesce(F.max(F.when(F.col("peak") <= slice_rows, F.col("k"))), F.lit(0)).alias("k"))
     hot = hot.select(key, (F.lit(60) * F.pow(F.lit(2), F.col("k"))).cast("long").alias(SLICE))
     return None if hot.isEmpty() else hot
 

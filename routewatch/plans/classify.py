@@ -375,25 +375,27 @@ def _slice_carries(rows: DataFrame) -> DataFrame:
     """(prefix, slice) -> state at the start of each slice of a hot prefix, exactly.
 
     All slices run at once from a guessed state (nothing open). What each leaves behind is handed
-    to the next, and the slices run again, until no handed state differs from the one used. The
-    first r slices are right after r rounds, so it always ends; since classes expire within
+    to the next, and the slices handed another state than they ran from run again, until none is.
+    The first r slices are right after r rounds, so it always ends; since classes expire within
     minutes, two or three rounds are usual.
     """
     back = Window.partitionBy("prefix").orderBy(CHUNK)
     before = back.rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.select("prefix", CHUNK).distinct().withColumn("carry", F.lit(None).cast("string"))
-    carry = cut(carry)
+    carry = todo = cut(carry)
+    ends = None
     while True:
-        ends = _sorted_groups(rows.drop("carry").join(carry, ["prefix", CHUNK])).mapInArrow(
-            _slice_ends, SUMMARY_DDL)
+        again = _sorted_groups(rows.drop("carry").join(small(todo), ["prefix", CHUNK])).mapInArrow(_slice_ends, SUMMARY_DDL)
+        ends = cut(again if ends is None else ends.join(small(todo), ["prefix", CHUNK], "left_anti").unionByName(again))
         kept = lambda c, d: F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(d))
         text = F.concat(
             F.lit('{"state":'), kept("state", "[0, 0]"), F.lit(',"incident":'), kept("incident", "null"),
             F.lit(',"leak":'), kept("leak", "null"), F.lit(',"due":'), F.lag("due").over(back),
             F.lit(',"last":'), F.lag("last").over(back), F.lit("}"))
         found = cut(ends.select("prefix", CHUNK, text.alias("carry")))
-        if found.join(carry.withColumnRenamed("carry", "_old"), ["prefix", CHUNK]).filter(
-                ~F.col("carry").eqNullSafe(F.col("_old"))).isEmpty():
+        todo = cut(found.join(carry.withColumnRenamed("carry", "_old"), ["prefix", CHUNK]).filter(
+            ~F.col("carry").eqNullSafe(F.col("_old"))).drop("_old"))
+        if todo.isEmpty():
             return found
         carry = found
 
