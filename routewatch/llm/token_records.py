@@ -164,6 +164,29 @@ def _shard_writer(folder, vocabulary, end_id):
     return write
 
 
+def _read_shards(parts):
+    # Workers are used again: words kept for writing would fill their memory through all later stages.
+    _ENCODERS.clear()
+    for part in parts:
+        for row in part.to_pylist():
+            files, path = file_system(row["records_file"])
+            _, index_path = file_system(row["index_file"])
+            with files.open_input_file(index_path) as source:
+                index = pq.read_table(source)
+            offsets, counts, width = index["offset"].to_numpy(), index["n_tokens"].to_numpy(), row["id_bytes"]
+            start = row["before"] + np.cumsum(counts) - counts
+            with files.open_input_file(path) as source:
+                for at in range(0, len(offsets), 500):
+                    o, n = offsets[at:at + 500], counts[at:at + 500]
+                    data = source.read_at(int(o[-1] - o[0] + FRAME + width * n[-1]), int(o[0]))
+                    ids = unframed(data, o - o[0], width * n)
+                    sums = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in ids]
+                    yield pa.RecordBatch.from_arrays([
+                        index["doc_id"].slice(at, 500).combine_chunks(), pa.array(start[at:at + 500]), pa.array(n),
+                        pa.array(sums, pa.int64()), pa.array(np.full(len(o), row["shard"], np.int64)), pa.array(o)],
+                        ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
+
+
 def read_records(manifest: DataFrame) -> DataFrame:
     """One row per record, read back from the files: doc_id, start, n_tokens, ids_crc32, shard, offset.
 
@@ -176,27 +199,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     starts = manifest.withColumn("before", F.coalesce(
         F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
-    def read(parts):
-        for part in parts:
-            for row in part.to_pylist():
-                files, path = file_system(row["records_file"])
-                _, index_path = file_system(row["index_file"])
-                with files.open_input_file(index_path) as source:
-                    index = pq.read_table(source)
-                offsets, counts, width = index["offset"].to_numpy(), index["n_tokens"].to_numpy(), row["id_bytes"]
-                start = row["before"] + np.cumsum(counts) - counts
-                with files.open_input_file(path) as source:
-                    for at in range(0, len(offsets), 500):
-                        o, n = offsets[at:at + 500], counts[at:at + 500]
-                        data = source.read_at(int(o[-1] - o[0] + FRAME + width * n[-1]), int(o[0]))
-                        ids = unframed(data, o - o[0], width * n)
-                        sums = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in ids]
-                        yield pa.RecordBatch.from_arrays([
-                            index["doc_id"].slice(at, 500).combine_chunks(), pa.array(start[at:at + 500]), pa.array(n),
-                            pa.array(sums, pa.int64()), pa.array(np.full(len(o), row["shard"], np.int64)), pa.array(o)],
-                            ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
-
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, offset long"
     if not shards:
         return spark.createDataFrame([], schema)
-    return starts.repartition(min(shards, 10_000)).mapInArrow(read, schema)
+    return starts.repartition(min(shards, 10_000)).mapInArrow(_read_shards, schema)
